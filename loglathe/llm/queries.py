@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .chat import op9_query
+from .langid import op8_query
+from .packing import op6_query
 from .sharding import op1_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bin_pack_shards": op1_query,
+    "op6_mixture_packing": op6_query,
+    "op8_language_id": op8_query,
     "op9_chat_windows": op9_query,
 }
 
