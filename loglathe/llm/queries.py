@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import op9_query
 from .decontaminate import op10_query
 from .langid import op8_query
+from .minhash import op7_query
 from .order import op5_query
 from .packing import op6_query
 from .sharding import op1_query
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bin_pack_shards": op1_query,
     "op5_training_order": op5_query,
     "op6_mixture_packing": op6_query,
+    "op7_prob_minhash": op7_query,
     "op8_language_id": op8_query,
     "op9_chat_windows": op9_query,
     "op10_template_decontamination": op10_query,
