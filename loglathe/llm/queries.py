@@ -13,9 +13,11 @@ from .minhash import op7_query
 from .order import op5_query
 from .packing import op6_query
 from .sharding import op1_query
+from .vectors import op3_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bin_pack_shards": op1_query,
+    "op3_itq_embeddings": op3_query,
     "op5_training_order": op5_query,
     "op6_mixture_packing": op6_query,
     "op7_prob_minhash": op7_query,
