@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .chat import op9_query
 from .decontaminate import op10_query
 from .langid import op8_query
+from .lines import op2_query
 from .lm import op4_query
 from .minhash import op7_query
 from .order import op5_query
@@ -18,6 +19,7 @@ from .vectors import op3_query
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bin_pack_shards": op1_query,
+    "op2_line_dedup": op2_query,
     "op3_itq_embeddings": op3_query,
     "op4_pseudo_likelihood": op4_query,
     "op5_training_order": op5_query,
