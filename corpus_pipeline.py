@@ -1,17 +1,34 @@
-"""The corpus pipeline: language ID, line dedup, MinHash near-dedup, decontamination, packing."""
+"""The corpus pipeline: language ID, line dedup, MinHash near-dedup, decontamination, packing.
+
+Every stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and its result is written as Parquet and
+read again as the next one's ``docs``. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from loglathe.llm.common import materialise, table
+from loglathe.llm.decontaminate import drop_leaks
+from loglathe.llm.langid import keep_identified
+from loglathe.llm.lines import dedup_stage
+from loglathe.llm.minhash import drop_near_duplicates
+from loglathe.llm.packing import pack_stage
+
+STAGES = [
+    ("language_id", keep_identified),
+    ("line_dedup", dedup_stage),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("benchmark_decontamination", drop_leaks),
+    ("packing", pack_stage),
+]
+
+#: A trained model, signatures and a tokenizer take part: no SQL; the tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over ``documents``, each result written and read again."""
-    from loglathe.llm.common import materialise, table
-
+    """All stages in order over ``documents``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
