@@ -36,6 +36,8 @@ WINDOW_SEQUENCES = 64
 END = 0
 #: Sources beyond so many share queues by hash, which bounds the plan that every task gets.
 MAX_QUEUES = 4096
+#: Up to so many rows (of about 50 bytes) of queue starts are broadcast.
+BROADCAST_ROWS = 500_000
 
 ENCODED = "doc_id long, queue string, ids binary, n int, task int, start long"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
@@ -189,7 +191,9 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, vocabulary: s
                         out.append((d, start, length, zlib.crc32(full[4 * start : 4 * (start + length)]), n, seq, at, source))
                 yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 
-    placed = ids.join(parts.select("queue", "task", "before"), ["queue", "task"])
+    parts = materialise(parts.select("queue", "task", "before"), "parts")
+    # A row per queue and task: broadcast while that is small, so that the ids stay where they are.
+    placed = ids.join(F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts, ["queue", "task"])
     return placed.select("doc_id", "queue", "ids", "n", (F.col("before") + F.col("start")).alias("place")).mapInPandas(run, PIECES)
 
 
