@@ -28,6 +28,8 @@ LENGTH = 1024
 PER_SHARD = 512
 END = 50256
 ROUNDS = 6
+#: The tasks' first numbers (16 bytes each) are broadcast up to so many; beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 #: Spans are rows of three 64-bit integers: doc_id, start in the document, length.
 SEQUENCES = "task int, number long, ids binary, spans binary"
@@ -123,14 +125,14 @@ def order_shards(docs: DataFrame, key: int = 20, length: int = LENGTH, per_shard
     sequences = cut_sequences(docs, length, vocabulary)
     counts = sequences.groupBy("task").agg(F.count("*").alias("n"))
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)  # one row per task of the encoding pass
-    starts = counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    total = sequences.count()
+    starts = materialise(counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))), "starts")
+    n_tasks, total = starts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
 
     def slot_of(numbers: pd.Series) -> pd.Series:
         return pd.Series(permute(numbers.to_numpy(), total, key))
 
     slotted = (
-        sequences.join(starts, "task")
+        sequences.join(F.broadcast(starts) if n_tasks <= BROADCAST_ROWS else starts, "task")
         .withColumn("slot", F.pandas_udf(slot_of, "long")(F.col("before") + F.col("number")))
         .select("slot", "ids", "spans")
     )
