@@ -2,8 +2,8 @@
 
 A text becomes its words and numbers. In the *template*, numbers become ``<num>``, capitalised words ``<name>`` and
 units after a number ``<unit>``; other words are lower-cased. Windows of ``width`` tokens are hashed in two channels: the
-template, and the plain lower-cased words (which also finds passages whose case was changed). Windows of the documents
-are hash-joined with those of the benchmark; a match is verified on the words, and the slots of all matched windows
+template, and the plain lower-cased words (which also finds passages whose case was changed). Windows of the documents whose
+first and last token occur as such in a benchmark window (a fixed-size bit table decides) are hash-joined with those of the benchmark; a match is verified on the words, and the slots of all matched windows
 of an (item, document, alignment) must map the item's values one-to-one to the document's. A document that repeats
 an item with other numbers, names or units is thus caught; windows with fewer than ``MIN_LITERAL`` plain words say
 too little about an item and are not used as templates.
@@ -28,6 +28,9 @@ UNITS = (
 #: The benchmark's windows are broadcast up to so many rows (about 200 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 
+#: Bits in the table of the benchmark's window ends.
+BIT_PLACES = 20
+
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 
 
@@ -57,10 +60,32 @@ def _hashes(tokens: Column) -> Column:
     return F.transform(tokens, lambda x: F.hash(x))
 
 
-def _windows(hashes: str, width: int, salt: int) -> Column:
-    """A hash of every window of ``width`` of an array of hashes."""
-    starts = F.when(F.size(hashes) >= width, F.sequence(F.lit(1), F.size(hashes) - (width - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(F.col(hashes), i, width), F.lit(salt)))
+def _ends(hashes: Column, first: Column | int, last: Column | int) -> Column:
+    """The place in the bit table of a window's first and last token."""
+    return F.hash(F.get(hashes, F.lit(first) if isinstance(first, int) else first), F.get(hashes, F.lit(last) if isinstance(last, int) else last)).bitwiseAND(F.lit((1 << BIT_PLACES) - 1))
+
+
+def _bit_table(places: list[int]) -> Column:
+    """A constant array of 64-bit words with the given bits set."""
+    words = [0] * (1 << (BIT_PLACES - 6))
+    for x in places:
+        words[x >> 6] |= 1 << (x & 63)
+    return F.split(F.lit(",".join(str(w - (1 << 64) if w >> 63 else w) for w in words)), ",").cast("array<bigint>")
+
+
+def _windows(hashes: str, width: int, is_template: bool, bits: Column) -> Column:
+    """Place and hash of those windows of ``width`` that can be a benchmark window."""
+    h = F.col(hashes)
+    starts = F.when(F.size(h) >= width, F.sequence(F.lit(1), F.size(h) - (width - 1))).otherwise(F.array().cast("array<int>"))
+
+    def possible(i: Column) -> Column:
+        x = _ends(h, i - 1, i + (width - 2))
+        return F.get(bits, F.shiftright(x, 6)).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)))) != 0
+
+    return F.transform(
+        F.filter(starts, possible),
+        lambda i: F.struct(F.lit(width).alias("k"), F.lit(is_template).alias("is_template"), i.alias("place"), F.xxhash64(F.slice(h, i, width), F.lit(int(is_template))).alias("hash")),
+    )
 
 
 def _tokenised(rows: DataFrame, key: str) -> DataFrame:
@@ -76,31 +101,26 @@ def benchmark_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     at = items.select("*", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1)).alias("at"))
     cut = at.select("item_id", "at", "k", F.slice("w", F.col("at"), F.col("k")).alias("words"), F.slice("t", F.col("at"), F.col("k")).alias("templ"))
     literal = F.size(F.filter("templ", lambda x: ~x.isin(NUM, NAME, UNIT)))
-    plain = cut.withColumn("is_template", F.lit(False)).withColumn("hash", F.xxhash64(_hashes(F.transform("words", F.lower)), F.lit(0)))
-    templ = cut.where(literal >= MIN_LITERAL).withColumn("is_template", F.lit(True)).withColumn("hash", F.xxhash64(_hashes(F.col("templ")), F.lit(1)))
-    return plain.unionByName(templ)
+    plain = cut.select("*", F.lit(False).alias("is_template"), _hashes(F.transform("words", F.lower)).alias("h"))
+    templ = cut.where(literal >= MIN_LITERAL).select("*", F.lit(True).alias("is_template"), _hashes(F.col("templ")).alias("h"))
+    both = plain.unionByName(templ)
+    return both.select("*", F.xxhash64("h", F.col("is_template").cast("int")).alias("hash"), F.hash(F.get("h", F.lit(0)), F.get("h", F.col("k") - 1)).bitwiseAND(F.lit((1 << BIT_PLACES) - 1)).alias("ends")).drop("h")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row per (doc_id, item_id) found: n_windows, exact (all slots alike) and the alignments found."""
     marks = benchmark_windows(benchmark, width)
-    sizes = {r["k"]: r["n"] for r in marks.groupBy("k").agg(F.count("*").alias("n")).collect()}  # at most `width` rows
-    n_marks = sum(sizes.values())
+    ends: dict[tuple[int, bool], list[int]] = {}
+    for r in marks.select("k", "is_template", "ends").distinct().collect():  # at most 2 * width * 2**BIT_PLACES rows
+        ends.setdefault((r["k"], r["is_template"]), []).append(r["ends"])
+    n_marks = marks.count()
     tokens = _tokenised(docs, "doc_id")
-    both = F.concat(*[_windows(h, k, salt) for k in sorted(sizes) for h, salt in (("__plain", 0), ("__templ", 1))]) if sizes else F.array().cast("array<bigint>")
-    # Explode indexes only through (width, channel, position), recovered from the place in the concatenation.
-    exploded = tokens.select("doc_id", "words", F.posexplode(both).alias("p", "hash"))
-    size = F.size("words")
-    place, start = F.lit(None).cast("int"), F.lit(0)
-    for k in sorted(sizes):
-        n = F.greatest(size - (k - 1), F.lit(0))
-        for _ in range(2):
-            place = F.coalesce(place, F.when((F.col("p") >= start) & (F.col("p") < start + n), F.col("p") - start + 1))
-            start = start + n
-    marks = marks.select("hash", "item_id", "at", "k", F.col("words").alias("iw"), "templ", "is_template")
-    hits = exploded.join(F.broadcast(marks) if n_marks <= BROADCAST_ROWS else marks, "hash")
-    hits = hits.withColumn("place", place).where(F.col("place").isNotNull() & (F.col("place") + F.col("k") - 1 <= size))
-    hits = hits.select("doc_id", "item_id", "at", "place", "is_template", "iw", "templ", F.slice("words", F.col("place"), F.col("k")).alias("dw"))
+    found = [_windows("__templ" if t else "__plain", k, t, _bit_table(places)) for (k, t), places in sorted(ends.items())]
+    none = F.array().cast("array<struct<k:int,is_template:boolean,place:int,hash:bigint>>")
+    exploded = tokens.select("doc_id", "words", F.explode(F.concat(*found) if found else none).alias("v"))
+    exploded = exploded.select("doc_id", "v.*", F.slice("words", F.col("v.place"), F.col("v.k")).alias("dw"))
+    marks = marks.select("hash", "k", "is_template", "item_id", "at", F.col("words").alias("iw"), "templ")
+    hits = exploded.join(F.broadcast(marks) if n_marks <= BROADCAST_ROWS else marks, ["hash", "k", "is_template"])
     pairs = hits.withColumn("z", F.arrays_zip("iw", "dw", "templ"))
     slot = lambda z: F.col("is_template") & z["templ"].isin(NUM, NAME, UNIT)
     real = pairs.where(F.forall("z", lambda z: slot(z) | (F.lower(z["iw"]) == F.lower(z["dw"]))))
