@@ -52,7 +52,7 @@ def two_means_edge(values: DataFrame) -> float:
     up = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     sums = distinct.select("v", F.count("*").over(up).alias("n"), F.sum("v").over(up).alias("s"), F.sum(F.col("v") * F.col("v")).over(up).alias("q"))
     t = sums.agg(F.max("n").alias("n"), F.max("s").alias("s"), F.max("q").alias("q")).first()
-    if t["n"] < 2:
+    if (t["n"] or 0) < 2:
         return 0.0
     rest = F.lit(t["n"]) - F.col("n")
     error = F.col("q") - F.col("s") ** 2 / F.col("n") + (F.lit(t["q"]) - F.col("q")) - (F.lit(t["s"]) - F.col("s")) ** 2 / rest
