@@ -6,10 +6,12 @@ arrivals fall on random registers, and a register keeps the shingle that arrives
 arrival is later than the latest register stop (early termination), so most are touched once. Two documents agree on
 a register with their probability Jaccard as chance.
 
-Signatures are cut into bands. In a bucket every member is first compared with one pivot only (the bucket's least id), so
-a bucket of any size gives as many candidates as members. Verified links give components; a second pass compares,
-bucket by bucket, only members of *different* components with the pivot-free pairs that are left, so no link between
-buckets' members is lost to the choice of the pivot. Candidates whose signatures agree on fewer registers than chance allows for
+Signatures are cut into bands. In a bucket every member is first compared with one pivot only (the least by a hash of id
+and band, so the bands of a large family have different pivots), and a bucket of any size gives as many candidates as
+members. Verified links give components. Members of one bucket that are still in *different* components then meet in an exact
+prefix join: their shingles are ordered by rarity, and only documents that share one of their rarest shingles, at places that
+leave room for the overlap they need, are compared. So no link between components is lost to the choice of pivots, and a
+large family that is alike, but not alike enough, gives few pairs. Candidates whose signatures agree on fewer registers than chance allows for
 the threshold are dropped; the others are verified on the shingle sets: Jaccard at least ``threshold``.
 
 Equal word sequences are one class from the start; their copies are not compared. A third of all rows in one group of
@@ -36,9 +38,13 @@ THRESHOLD = 0.8
 BANDS, ROWS = 16, 4
 REGISTERS = BANDS * ROWS
 #: Registers two documents at the threshold share at least, but for one in 30,000 pairs (four standard deviations).
+#: Ids of candidates are broadcast to the scan of the texts up to so many (16 bytes each); beyond, the join shuffles.
+BROADCAST_ROWS = 1_000_000
+#: Bits of the parity bitmaps.
+PARITY = 512
 AGREE = int(REGISTERS * THRESHOLD - 4 * (REGISTERS * THRESHOLD * (1 - THRESHOLD)) ** 0.5)
 
-SKETCH = "doc_id long, content long, content2 long, n long, sig binary, bands array<long>"
+SKETCH = "doc_id long, content long, content2 long, n long, sig array<int>, bands array<long>"
 
 
 def word_hashes(text: Column) -> Column:
@@ -150,15 +156,15 @@ def sketch(docs: DataFrame) -> DataFrame:
                         bands = _scramble(bands * np.uint64(31) + sig.reshape(len(n), BANDS, ROWS)[:, :, k])
                 yield pd.DataFrame({
                     "doc_id": part["doc_id"].to_numpy(), "content": part["content"].to_numpy(), "content2": part["content2"].to_numpy(),
-                    "n": np.bincount(d, minlength=len(n)), "sig": [x.tobytes() for x in sig.astype("<u4")], "bands": list(bands.view(np.int64)),
+                    "n": np.bincount(d, minlength=len(n)), "sig": list(sig.view(np.int32)), "bands": list(bands.view(np.int64)),
                 })
 
     words = docs.select("doc_id", word_hashes(F.col("text")).alias("words"))
     return words.select("doc_id", "words", F.xxhash64("words").alias("content"), F.xxhash64(F.lit(1), "words").alias("content2")).mapInPandas(run, SKETCH)
 
 
-def shingle_sets(docs: DataFrame) -> DataFrame:
-    """doc_id and the sorted distinct shingle hashes (64-bit, packed little endian)."""
+def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``id``, ``n``, ``items`` (distinct 64-bit shingle hashes) and ``bits`` (their parity bitmap) of documents whose id is in ``ids``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -167,33 +173,50 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
                 n = np.array([len(x) for x in part["words"]], dtype=np.int64)
                 words = np.concatenate([*part["words"], np.zeros(0, dtype=np.int64)]).astype(np.int64)
                 h, d, _ = weighted(*shingles(words, n))
-                ends = np.cumsum(np.bincount(d, minlength=len(n)))
-                yield pd.DataFrame({"id": part["doc_id"].to_numpy(), "items": [x.astype("<u8").tobytes() for x in np.split(h, ends[:-1])]})
+                count = np.bincount(d, minlength=len(n))
+                place = d * PARITY + (h >> np.uint64(40)).astype(np.int64) % PARITY
+                odd = np.bincount(place, minlength=len(n) * PARITY).reshape(len(n), PARITY) & 1
+                bits = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
+                yield pd.DataFrame({"id": part["doc_id"].to_numpy(), "n": count, "items": np.split(h.view(np.int64), np.cumsum(count)[:-1]), "bits": list(bits)})
 
-    return docs.select("doc_id", word_hashes(F.col("text")).alias("words")).mapInPandas(run, "id long, items binary")
+    ids = materialise(ids.select(F.col("id").alias("doc_id")).distinct(), "candidate-ids")
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+    return materialise(texts.select("doc_id", word_hashes(F.col("text")).alias("words")).mapInPandas(run, "id long, n int, items array<long>, bits array<long>"), "sets")
 
 
-def _jaccard(a: bytes, b: bytes) -> float:
-    x, y = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / max(1, len(x) + len(y) - both)
+def verify(candidates: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) of ``candidates`` whose shingle sets' Jaccard reaches the threshold."""
 
+    left = candidates.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
+    both = left.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared >= threshold * (F.size("x") + F.size("y") - shared) - 1e-9).select("a", "b")
 
-def verify(candidates: DataFrame, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) of ``candidates`` whose shingle sets' Jaccard reaches the threshold.
 
-    Only texts of candidates are shingled; hot ids (pivots of large buckets) are spread by the joins' skew handling.
-    """
+def prefix_pairs(left: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Pairs (a, b) of different components (``left``: id, component) that can reach the threshold, by an exact prefix filter.
 
-    @F.pandas_udf("double")
-    def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([_jaccard(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    ids = candidates.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = materialise(shingle_sets(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi")).dropDuplicates(["id"]), "sets")
-    left = candidates.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    return both.where(similarity("x", "y") >= threshold).select("a", "b")
+    Shingles that one document alone has come first in the order and cannot match, so they are only counted. The parity
+    bitmaps differ in at most as many bits as the sets in shingles, which rules out most pairs inside the join.
+    """
+    items = sets.join(left, "id").select("id", F.explode("items").alias("s"))
+    common = items.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+    ordered = items.join(common, "s").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "s"))).alias("c"))
+    ordered = ordered.join(sets.select("id", "n", "bits").join(left, "id"), "id")
+    alone = F.col("n") - F.size("c")
+    # The slack keeps rounding of the products from losing a pair on the threshold.
+    length = F.col("n") - F.ceil(F.col("n") * threshold - 1e-6).cast("int") + 1 - alone
+    bits = [F.get("bits", F.lit(i)).alias(f"b{i}") for i in range(PARITY // 64)]
+    entries = ordered.select("id", "component", "n", *bits, alone.alias("alone"), F.posexplode(F.slice("c", F.lit(1), F.greatest(length, F.lit(0)))).alias("p", "v"))
+    entries = entries.select(F.col("v.s").alias("s"), "id", "component", "n", (F.col("alone") + F.col("p") + 1).alias("at"), *(f"b{i}" for i in range(PARITY // 64)))
+    as_ = lambda p: entries.select("s", *(F.col(c).alias(p + c) for c in entries.columns if c != "s"))
+    need = threshold / (1 + threshold) * (F.col("xn") + F.col("yn")) - 1e-6
+    room = F.least(F.col("xn") - F.col("xat"), F.col("yn") - F.col("yat")) + 1
+    close = (F.least("xn", "yn") >= threshold * F.greatest("xn", "yn") - 1e-6) & (room >= need) & (F.col("xat") <= F.col("xn") - need + 1) & (F.col("yat") <= F.col("yn") - need + 1)
+    apart = F.expr(" + ".join(f"bit_count(xb{i} ^ yb{i})" for i in range(PARITY // 64)))
+    close = close & (apart <= F.col("xn") + F.col("yn") - 2 * need)
+    pairs = as_("x").join(as_("y"), "s").where((F.col("xid") < F.col("yid")) & (F.col("xcomponent") != F.col("ycomponent")) & close)
+    return pairs.select(F.col("xid").alias("a"), F.col("yid").alias("b")).distinct()
 
 
 def _agree(x: str, y: str) -> Column:
@@ -207,31 +230,28 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     real = rows.where(F.col("n") > 0)
     first = real.groupBy("content", "content2").agg(F.min("doc_id").alias("rep"))
     members = materialise(real.select("doc_id", "content", "content2").join(first, ["content", "content2"]).select("doc_id", "rep").distinct(), "members")
-    reps = real.join(members.where(F.col("doc_id") == F.col("rep")).select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    reps = real.join(members.where(F.col("doc_id") == F.col("rep")).select("doc_id"), "doc_id", "left_semi")
     entries = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "bucket"))
-    buckets = entries.groupBy("band", "bucket").agg(F.min("id").alias("pivot"), F.count("*").alias("size")).where("size > 1")
+    buckets = entries.groupBy("band", "bucket").agg(F.min_by("id", F.xxhash64("id", "band")).alias("pivot"), F.count("*").alias("size")).where("size > 1")
     shared = materialise(entries.join(buckets, ["band", "bucket"]).select("band", "bucket", "id", "pivot"), "buckets")
-    signed = reps.select(F.col("doc_id").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(REGISTERS - 1)), lambda i: F.substring(F.hex("sig"), i * 8 + 1, F.lit(8))).alias("sig"))
-
-    def likely(pairs: DataFrame) -> DataFrame:
-        known = pairs.join(signed.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(signed.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
-        return materialise(known.where(_agree("x", "y")).select("a", "b"), "candidates")
-
-    stars = shared.where("id != pivot").select(F.col("id").alias("b"), F.col("pivot").alias("a")).distinct()
-    tried = likely(stars)
-    linked = materialise(verify(tried, docs, threshold), "links")
+    stars = shared.where("id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
+    signed = reps.select(F.col("doc_id").alias("id"), "sig")
+    known = stars.join(signed.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(signed.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
+    tried = materialise(known.where(_agree("x", "y")).select("a", "b"), "candidates")
+    sets = shingle_sets(docs, tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id"))))
+    linked = materialise(verify(tried, sets, threshold), "links")
     comp = components(linked)
-    # What the pivots missed: members of one bucket that are still in different components.
+    # What the pivots may have missed: members of one bucket that are still in different components.
     labelled = shared.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = labelled.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "bucket")
-    left = materialise(labelled.join(mixed, ["band", "bucket"]).select("band", "bucket", "id", "component"), "mixed")
-    x = left.select("band", "bucket", F.col("id").alias("a"), F.col("component").alias("ca"))
-    y = left.select("band", "bucket", F.col("id").alias("b"), F.col("component").alias("cb"))
-    more = x.join(y, ["band", "bucket"]).where("a < b and ca != cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = likely(more)
-    if not more.isEmpty():
-        linked = linked.unionByName(verify(more, docs, threshold))
-        comp = components(linked)
+    left = materialise(labelled.join(mixed, ["band", "bucket"]).select("id", "component").distinct(), "mixed")
+    if not left.isEmpty():
+        sets = shingle_sets(docs, left)
+        missed = materialise(prefix_pairs(left, sets, threshold).join(tried, ["a", "b"], "left_anti"), "missed")
+        found = materialise(verify(missed, sets, threshold), "links")
+        if not found.isEmpty():
+            linked = linked.unionByName(found)
+            comp = components(linked)
     classes = members.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     every = classes.unionByName(solo.select("doc_id", F.col("doc_id").alias("class_id"))).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     return every.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
