@@ -12,6 +12,7 @@ from .langid import op8_query
 from .lines import op2_query
 from .lm import op4_query
 from .minhash import op7_query
+from .oracle import EMBEDDINGS, LEAKS, LINE_DEDUP, NEAR_DUPLICATES
 from .order import op5_query
 from .packing import op6_query
 from .sharding import op1_query
@@ -30,4 +31,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_template_decontamination": op10_query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others train a model, sketch at random or tokenise: they are tested against brute force and exact round trips.
+ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": LINE_DEDUP,
+    "op3_itq_embeddings": EMBEDDINGS,
+    "op7_prob_minhash": NEAR_DUPLICATES,
+    "op10_template_decontamination": LEAKS,
+}
