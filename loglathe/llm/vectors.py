@@ -79,11 +79,11 @@ def unit_rows(embedding: pd.Series) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _pairs_of_run(x: np.ndarray, block: np.ndarray, keys: np.ndarray, table: int, threshold: float) -> np.ndarray:
-    """The matrix of linked pairs of one group: both blocks' rows if there are two, first shared table only."""
+def _pairs_of_run(x: np.ndarray, block: np.ndarray, cross: bool, keys: np.ndarray, table: int, threshold: float) -> np.ndarray:
+    """The matrix of linked pairs of one group: only between its two blocks if it is ``cross``, first shared table only."""
     hit = x @ x.T >= threshold
     np.fill_diagonal(hit, False)
-    if block.min() != block.max():
+    if cross:
         hit &= block[:, None] != block[None, :]
     for t in range(table):
         same = keys[:, t]
@@ -106,29 +106,33 @@ def _compare(pdf: pd.DataFrame, threshold: float) -> tuple[np.ndarray, np.ndarra
     """(id, added links, least linked id) of the rows of whole groups."""
     x, keys = unit_rows(pdf["embedding"]), np.stack(pdf["keys"].to_numpy())
     ids, copies, group = pdf["rep"].to_numpy(), pdf["copies"].to_numpy(), pdf["group"].to_numpy()
-    table, block, label = pdf["t"].to_numpy(), pdf["block"].to_numpy(), pdf["label"].to_numpy()
+    table, block, cross, label = (pdf[c].to_numpy() for c in ("t", "block", "cross", "label"))
     added, least = np.zeros(len(ids), dtype=np.int64), ids.copy()
     cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     sizes = np.diff(np.append(cuts, len(group)))
     for low, n in zip(cuts[sizes > 32], sizes[sizes > 32], strict=True):
         s = slice(low, low + n)
-        hit = _pairs_of_run(x[s], block[s], keys[s], table[low], threshold) & (label[s][:, None] == label[s][None, :])
+        hit = _pairs_of_run(x[s], block[s], cross[low], keys[s], table[low], threshold) & (label[s][:, None] == label[s][None, :])
         added[s] += hit @ copies[s]
         least[s] = np.minimum(least[s], _least_labels(hit, ids[s]))
-    small = np.repeat(sizes <= 32, sizes)
+    small, links = np.repeat(sizes <= 32, sizes), []
     for k in range(1, 32):
         a = np.flatnonzero(small[:-k] & (group[:-k] == group[k:]))
         if not len(a):
             break
         b = a + k
-        ok = (np.einsum("ij,ij->i", x[a], x[b]) >= threshold) & (label[a] == label[b]) & (table[a] == table[b])
+        ok = (np.einsum("ij,ij->i", x[a], x[b]) >= threshold) & (label[a] == label[b]) & (table[a] == table[b]) & (~cross[a] | (block[a] != block[b]))
         a, b = a[ok], b[ok]
         if len(a):
             earlier = ((keys[a] == keys[b]) & (np.arange(keys.shape[1])[None, :] < table[a][:, None])).any(axis=1)
             a, b = a[~earlier], b[~earlier]
             np.add.at(added, a, copies[b])
             np.add.at(added, b, copies[a])
-            low = np.minimum(ids[a], ids[b])
+            links.append((a, b))
+    if links:
+        a, b = (np.concatenate(x) for x in zip(*links, strict=True))
+        while (least[a] != least[b]).any():  # along chains of links inside a group
+            low = np.minimum(least[a], least[b])
             np.minimum.at(least, a, low)
             np.minimum.at(least, b, low)
     some = added > 0
@@ -167,7 +171,8 @@ def link_vectors(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     found = found.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     found = found.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     group = F.xxhash64("label", "dim", "t", "key", F.least("block", "other"), F.greatest("block", "other"))
-    work = found.select("rep", "t", "block", group.alias("group")).join(base, "rep").select("group", "t", "block", "rep", "copies", "label", "keys", "embedding")
+    cross = (F.col("block") != F.col("other")).alias("cross")
+    work = found.select("rep", "t", "block", cross, group.alias("group")).join(base, "rep").select("group", "t", "block", "cross", "rep", "copies", "label", "keys", "embedding")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
