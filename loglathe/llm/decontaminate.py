@@ -6,7 +6,7 @@ template, and the plain lower-cased words (which also finds passages whose case
 first and last token occur as such in a benchmark window (a fixed-size bit table decides) are hash-joined with those of the benchmark; a match is verified on the words, and the slots of all matched windows
 of an (item, document, alignment) must map the item's values one-to-one to the document's. A document that repeats
 an item with other numbers, names or units is thus caught; windows with fewer than ``MIN_LITERAL`` plain words say
-too little about an item and are not used as templates.
+too little about an item and are not used as templates. Where slots contradict each other, only plain windows count.
 
 Edge cases: null, empty and shorter-than-a-window texts never match, except that an item of fewer than ``width`` but at
 least ``MIN_LITERAL`` words is matched by a window of its own length; repeated rows of either table count once per
@@ -125,16 +125,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> Dat
     slot = lambda z: F.col("is_template") & z["templ"].isin(NUM, NAME, UNIT)
     real = pairs.where(F.forall("z", lambda z: slot(z) | (F.lower(z["iw"]) == F.lower(z["dw"]))))
     slots = F.transform(F.filter("z", slot), lambda z: F.struct(z["templ"].alias("kind"), F.lower(z["iw"]).alias("item"), F.lower(z["dw"]).alias("doc")))
-    aligned = real.select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift"), "at", slots.alias("slots")).groupBy("doc_id", "item_id", "shift")
+    aligned = real.select("doc_id", "item_id", (F.col("place") - F.col("at")).alias("shift"), "at", "is_template", slots.alias("slots")).groupBy("doc_id", "item_id", "shift")
     # An alignment has at most one window per position of its item and channel.
-    found = aligned.agg(F.countDistinct("at").alias("n"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("m"))
+    plain = F.count_distinct(F.when(~F.col("is_template"), F.col("at"))).alias("plain")
+    found = aligned.agg(F.count_distinct("at").alias("n"), plain, F.array_distinct(F.flatten(F.collect_set("slots"))).alias("m"))
     one_to_one = (F.size("m") == F.size(F.array_distinct(F.transform("m", lambda s: F.struct(s["kind"], s["item"])))) ) & (
         F.size("m") == F.size(F.array_distinct(F.transform("m", lambda s: F.struct(s["kind"], s["doc"]))))
     )
-    same = F.forall("m", lambda s: s["item"] == s["doc"])
+    same = one_to_one & F.forall("m", lambda s: s["item"] == s["doc"])
     return (
-        found.where(one_to_one)
-        .withColumn("same", same)
+        found.select("doc_id", "item_id", F.when(one_to_one, F.col("n")).otherwise(F.col("plain")).alias("n"), same.alias("same"))
+        .where("n > 0")
         .groupBy("doc_id", "item_id")
         .agg(F.max("n").cast("long").alias("n_windows"), F.bool_or("same").alias("exact"), F.count("*").alias("n_alignments"))
     )

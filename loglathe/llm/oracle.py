@@ -68,7 +68,8 @@ hits AS (SELECT doc_id, item_id, dm.i - im.place AS shift, im.place, im.ww AS iw
 slots AS (SELECT doc_id, item_id, shift, tt[j] AS kind, lower(iw[j]) AS a, lower(dw[j]) AS b
   FROM (SELECT *, unnest(range(1, len(iw) + 1)) AS j FROM hits WHERE templ) WHERE tt[j] IN ('<num>', '<name>', '<unit>')),
 judged AS (SELECT doc_id, item_id, shift, count(DISTINCT (kind, a, b)) AS m, count(DISTINCT (kind, a)) AS ma, count(DISTINCT (kind, b)) AS mb, bool_and(a = b) AS same FROM slots GROUP BY ALL),
-found AS (SELECT doc_id, item_id, shift, count(DISTINCT place) AS n FROM hits GROUP BY ALL)
-SELECT doc_id, item_id, max(n) AS n_windows, bool_or(coalesce(same, true)) AS exact, count(*) AS n_alignments
-FROM found LEFT JOIN judged USING (doc_id, item_id, shift) WHERE coalesce(m = ma AND m = mb, true) GROUP BY doc_id, item_id
+found AS (SELECT doc_id, item_id, shift, count(DISTINCT place) AS n, count(DISTINCT place) FILTER (NOT templ) AS plain FROM hits GROUP BY ALL),
+ended AS (SELECT doc_id, item_id, coalesce(m = ma AND m = mb, true) AS fits, coalesce(same, true) AS same, n, plain FROM found LEFT JOIN judged USING (doc_id, item_id, shift))
+SELECT doc_id, item_id, max(CASE WHEN fits THEN n ELSE plain END) AS n_windows, bool_or(fits AND same) AS exact, count(*) AS n_alignments
+FROM ended WHERE fits OR plain > 0 GROUP BY doc_id, item_id
 """

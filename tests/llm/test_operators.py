@@ -462,16 +462,22 @@ def test_escape(text):
 def test_leaks(spark):
     item = "Anna bought 12 kg of apples and 7 kg of pears on the market in Rome before she went home again with her brother"
     other = "Bert bought 30 lb of apples and 9 lb of pears on the market in Oslo before she went home again with her brother"
-    broken = "Bert bought 30 lb of apples and 9 kg of pears on the market in Oslo before she went home again with her sister Anna"
     far = "some words that have nothing to do with the question that is asked above at all"
     texts = [f"noise before {item} noise after", item.lower(), item.upper(), other, far, "", None, "12 kg", item[:20], f"{far} {other} {far} {item}"]
     bench = spark.createDataFrame([(1, item), (1, item), (2, "Too short here"), (3, None), (4, "seven words are all there is here")], "item_id long, text string")
     bench = bench.withColumn("hash", F.lit("x"))
     got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontaminate.find_leaks(frame(spark, [*texts, "yes Seven words are all there is here."]), bench).collect()}
     assert got == {(0, 1): True, (1, 1): True, (2, 1): True, (3, 1): False, (9, 1): True, (10, 4): True}
-    inconsistent = "x " + broken.replace("9 kg", "9 lb").replace("Oslo", "Bert").replace("30", "9")
-    one = decontaminate.find_leaks(frame(spark, [inconsistent]), bench).collect()
-    assert not any(r["n_windows"] > 12 for r in one)
+
+
+def test_slots_must_map_one_to_one(spark):
+    item = "the train number 7 leaves from a north gate and train number 8 leaves from there too"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [item.replace("7", "5").replace("8", "6"), item.replace("7", "5").replace("8", "5"), item.replace("7", "8").replace("number 8 leaves from there", "number 7 leaves from there")]
+    got = {r["doc_id"]: (r["exact"], r["n_windows"]) for r in decontaminate.find_leaks(frame(spark, texts), bench).collect()}
+    assert got[0] == (False, 10) and got[2] == (False, 10)
+    # Two numbers of the item became one: only the plain window between them counts.
+    assert got[1] == (False, 1)
 
 
 def test_leaks_without_broadcast(spark, monkeypatch):
