@@ -179,8 +179,12 @@ ORACLE_SQL: dict[str, str] = {
     + "SELECT array_to_string(tokens, ' ') AS log, CAST(coalesce(n, 0) AS INTEGER) AS n_templates, coalesce(ts, '') AS templates FROM logs LEFT JOIN agg USING (tokens)",
     "missed_logs": _with(_EVENTS, *_SLCT_TABLE[:3], "tpl AS (SELECT template, min(line_id) AS template_id FROM m GROUP BY template HAVING count(*) > 2000)", _HITS)
     + "SELECT line_id, line FROM lines WHERE line_id NOT IN (SELECT line_id FROM hits)",
-    "missed_tpls": _with(_EVENTS, *_SLCT_TABLE, _HITS)
-    + f"SELECT {_TEXT} AS template FROM tpl WHERE template_id NOT IN (SELECT template_id FROM hits JOIN lines USING (line_id) WHERE line LIKE '%click%')",
+    "missed_tpls": _with(
+        _EVENTS,
+        *_SLCT_TABLE,
+        f"turns AS (SELECT list_filter(regexp_split_to_array(replace(text, chr(10), ' '), '{_SPACE}'), lambda x: x <> '') AS tokens FROM conversations)",
+    )
+    + f"SELECT {_TEXT} AS template FROM tpl WHERE template_id NOT IN (SELECT template_id FROM tpl JOIN turns ON {_MATCH})",
     "template_cover_pairs": _with(_EVENTS, *_ALL_TABLE) + "SELECT parent, child FROM covers",
     "remove_sub_tpls": _with(_EVENTS, *_ALL_TABLE) + "SELECT text AS template FROM every WHERE text NOT IN (SELECT child FROM covers)",
     "template_scores": _with(_EVENTS, *_SLCT_TABLE, _HITS)

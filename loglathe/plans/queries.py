@@ -91,8 +91,8 @@ def missed_logs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def missed_tpls(spark: SparkSession, d: str) -> DataFrame:
-    lines = src.event_lines(spark, d).where(F.col("line").like("%click%"))
-    return match.missed_templates(lines, _slct_templates(spark, d)).select(template_text("template").alias("template"))
+    """Templates of the events that no turn of the conversations matches."""
+    return match.missed_templates(src.conversation_lines(spark, d), _slct_templates(spark, d)).select(template_text("template").alias("template"))
 
 
 def template_cover_pairs(spark: SparkSession, d: str) -> DataFrame:
