@@ -6,10 +6,10 @@ lines. Inside a micro-batch a key's lines are sorted by line_id; the order of mi
 
 from __future__ import annotations
 
-import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -44,10 +44,10 @@ def mine_stream(lines: DataFrame, make: Callable[[], object], key: Column) -> Da
     rows = lines.select("line_id", tokenize("line").alias("tokens")).select("line_id", "tokens", key.cast("string").alias("key"))
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        miner = pickle.loads(state.get[0]) if state.exists else make()
+        miner = cloudpickle.loads(state.get[0]) if state.exists else make()
         pdf = pd.concat(list(batches)).sort_values("line_id")
         out = [(int(i), *_ingest(miner, int(i), list(t))) for i, t in zip(pdf["line_id"], pdf["tokens"], strict=True)]
-        state.update((pickle.dumps(miner),))
+        state.update((cloudpickle.dumps(miner),))
         yield pd.DataFrame(out, columns=["line_id", "founder", "template", "update_type"]).astype({"founder": "Int64"})
 
     return rows.groupBy("key").applyInPandasWithState(step, EVENTS, "miner binary", "append", GroupStateTimeout.NoTimeout)
