@@ -31,7 +31,7 @@ MAX_LABELS = 256
 #: Training pieces are this many bytes long, so short texts are learned too.
 PIECE = 400
 REJECT_RATE = 0.001
-REJECT_MOST = 0.5
+REJECT_MOST = 0.4
 #: Held-back texts calibrate the temperature by so many of their characters (training and prediction read whole texts).
 CALIBRATE_ON = 40
 _BLANK = 32
@@ -69,6 +69,16 @@ class Model:
         self.labels, self.table, self.bias = labels, table, bias
         self.temperature, self.threshold = 1.0, 0.0
 
+    def state(self) -> tuple:
+        """Plain values, to be broadcast."""
+        return self.labels, self.table, self.bias, self.temperature, self.threshold
+
+    @classmethod
+    def load(cls, state: tuple) -> Model:
+        model = cls(*state[:3])
+        model.temperature, model.threshold = state[3:]
+        return model
+
     def logits(self, texts: list[str]) -> np.ndarray:
         out = np.empty((len(texts), len(self.labels)))
         for i, t in enumerate(texts):
@@ -174,10 +184,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     The model, of fixed size, is broadcast once.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model.state())
 
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        m = shared.value
+        m = Model.load(shared.value)
         for texts, letters in batches:
             lang, p = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
             some = letters.to_numpy(dtype=bool)

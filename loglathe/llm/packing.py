@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise
+from .tokens import Encoder
 
 SEQUENCE = 1024
 #: Sequences in a window, over which the mixture is kept.
@@ -49,8 +50,6 @@ def encode(docs: DataFrame, queue: str = "source", vocabulary: str | None = None
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        from .tokens import Encoder
-
         encoder, task, at = Encoder(vocabulary), TaskContext.get().partitionId(), {}
         for pdf in batches:
             for low in range(0, len(pdf), 512):
@@ -167,7 +166,6 @@ def cut(mixture: Mixture, queue: str, place: int, n: int) -> Iterator[tuple[int,
 
 def pack(docs: DataFrame, targets: dict[str, float] | None = None, vocabulary: str | None = None) -> DataFrame:
     """Pieces of all documents: :data:`PIECES`. ``targets``: token share by source, default the corpus's own."""
-    spark = docs.sparkSession
     ids = encode(docs, vocabulary=vocabulary)
     parts = ids.groupBy("queue", "task").agg(F.sum("n").alias("tokens"))
     from pyspark.sql.window import Window
@@ -176,10 +174,9 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, vocabulary: s
     parts = parts.withColumn("before", F.coalesce(F.sum("tokens").over(running), F.lit(0)))
     totals = {r["queue"]: r["t"] for r in ids.groupBy("queue").agg(F.sum("n").alias("t")).collect()}  # <= MAX_QUEUES rows
     wanted = {("null" if s is None else f"={s}"): w for s, w in targets.items()} if targets else None
-    mixture = spark.sparkContext.broadcast(Mixture(totals, wanted))
+    mixture = Mixture(totals, wanted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = mixture.value
         names = [x.split()[0] for x in PIECES.split(", ")]
         for pdf in batches:
             for low in range(0, len(pdf), 512):
@@ -187,7 +184,7 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, vocabulary: s
                 for d, q, raw, n, place in pdf.iloc[low : low + 512].itertuples(index=False):
                     full = np.frombuffer(raw, dtype="<u2").astype("<u4").tobytes()
                     source = q[1:] if q.startswith("=") else None
-                    for start, length, seq, at in cut(m, q, place, n):
+                    for start, length, seq, at in cut(mixture, q, place, n):
                         out.append((d, start, length, zlib.crc32(full[4 * start : 4 * (start + length)]), n, seq, at, source))
                 yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
 

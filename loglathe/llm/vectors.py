@@ -58,6 +58,16 @@ class Codes:
                 turn = (left @ right).T
             self.turns.append(vectors @ turn)
 
+    def state(self) -> tuple:
+        """Plain values, to be broadcast."""
+        return self.centre, self.turns, self.tables, self.bits
+
+    @classmethod
+    def load(cls, state: tuple) -> Codes:
+        codes = cls.__new__(cls)
+        codes.centre, codes.turns, codes.tables, codes.bits = state
+        return codes
+
     def keys(self, unit: np.ndarray) -> np.ndarray:
         """(rows, tables) substrings as integers."""
         signs = np.concatenate([(unit - self.centre) @ t >= 0 for t in self.turns], axis=1)
@@ -154,12 +164,12 @@ def link_vectors(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     for r in most:
         sample = copies.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toPandas()
         models[r["dim"]] = Codes(unit_rows(sample["embedding"]), *plan_tables(r["n"], threshold))
-    shared = spark.sparkContext.broadcast(models)
+    shared = spark.sparkContext.broadcast({dim: m.state() for dim, m in models.items()})
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for dim, part in pdf.groupby("dim"):
-                keys = shared.value[dim].keys(unit_rows(part["embedding"]))
+                keys = Codes.load(shared.value[dim]).keys(unit_rows(part["embedding"]))
                 yield pd.DataFrame({"rep": part["rep"], "keys": list(keys.astype(np.int32))})
 
     coded = materialise(copies.select("rep", "dim", "embedding").mapInPandas(code, "rep long, keys array<int>"), "codes")
