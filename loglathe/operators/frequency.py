@@ -50,22 +50,27 @@ def slct(lines: DataFrame, wp_supp: int = 50, tpl_supp: int = 20) -> DataFrame:
     return first_seen(_masked(tokens, frequent, ["pos", "word"])).where(F.col("n_lines") > tpl_supp)
 
 
-def _gap_masked(x: Column) -> Column:
-    """Keep the words on the upper side of the first largest gap of the line's sorted counts."""
-    counts = F.array_sort(F.transform(x, lambda e: e["n"]))
-    n = F.size(x)
-    gaps = F.zip_with(F.slice(counts, 2, F.greatest(n - 1, F.lit(0))), F.slice(counts, 1, F.greatest(n - 1, F.lit(0))), lambda a, b: a - b)
-    largest = F.array_max(gaps)
-    edge = F.element_at(counts, F.array_position(gaps, largest).cast("int"))
-    words = F.transform(x, lambda e: e["word"])
-    return F.when((n < 2) | (largest == 0), words).otherwise(F.transform(x, lambda e: F.when(e["n"] > edge, e["word"])))
+def _gap_masked(rows: DataFrame) -> DataFrame:
+    """line_id, template: the words on the upper side of the first largest gap of the line's sorted counts.
+
+    Each step is a column that the next uses more than once, so the optimizer does not move it into a lambda, where it
+    would be computed for every token.
+    """
+    rows = rows.withColumn("counts", F.sort_array(F.transform("x", lambda e: e["n"])))
+    less = F.greatest(F.size("counts") - 1, F.lit(0))
+    rows = rows.withColumn("gaps", F.zip_with(F.slice("counts", F.lit(2), less), F.slice("counts", F.lit(1), less), lambda a, b: a - b))
+    largest = F.array_max("gaps")
+    rows = rows.withColumn("edge", F.when(largest > 0, F.element_at("counts", F.array_position("gaps", largest).cast("int"))))
+    words = F.transform("x", lambda e: e["word"])
+    upper = F.transform("x", lambda e: F.when(e["n"] > F.col("edge"), e["word"]))
+    return rows.select("line_id", F.when(F.col("edge").isNull(), words).otherwise(upper).alias("template"))
 
 
 def lfa(lines: DataFrame) -> DataFrame:
     """Per line, the words above the first largest gap between its words' (position, word) counts stay."""
     tokens = tokenized(lines)
     rows = exploded(tokens).join(position_word_counts(tokens), ["pos", "word"])
-    return first_seen(_regrouped(rows, tokens, F.col("n")).select("line_id", _gap_masked(F.col("x")).alias("template")))
+    return first_seen(_gap_masked(_regrouped(rows, tokens, F.col("n"))))
 
 
 def va(lines: DataFrame, method: str, threshold: float) -> DataFrame:
@@ -84,11 +89,14 @@ def va(lines: DataFrame, method: str, threshold: float) -> DataFrame:
         return first_seen(_masked(tokens, words.where(F.col("n") / F.lit(total) > threshold), ["word"]))
     if method == "relative-variable":
         x = _regrouped(exploded(tokens).join(words, "word"), tokens, F.col("n"))
-        order = F.array_sort(F.transform("x", lambda e: F.struct(e["n"].alias("n"), e["pos"].alias("pos"), e["word"].alias("word"))))
+        order = F.sort_array(F.transform("x", lambda e: F.struct(e["n"].alias("n"), e["pos"].alias("pos"), e["word"].alias("word"))))
         drop = F.floor(F.size("x") * F.lit(float(threshold))).cast("int")
         kept = F.transform(F.slice(order, drop + 1, F.greatest(F.size("x") - drop, F.lit(0))), lambda e: e["word"])
         x = x.withColumn("kept", kept)
-        return first_seen(x.select("line_id", F.transform("x", lambda e: F.when(F.array_contains("kept", e["word"]), e["word"])).alias("template")))
+        none = F.transform("x", lambda e: F.lit(None).cast("string"))
+        some = F.transform("x", lambda e: F.when(F.array_contains("kept", e["word"]), e["word"]))
+        # Two uses of "kept" keep it out of the lambda.
+        return first_seen(x.select("line_id", F.when(F.size("kept") == 0, none).otherwise(some).alias("template")))
     raise NotImplementedError(method)
 
 
