@@ -228,7 +228,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = materialise(sketch(docs), "sketch")
     solo = rows.where(F.col("n") == 0).select("doc_id")
     real = rows.where(F.col("n") > 0)
-    first = real.groupBy("content", "content2").agg(F.min("doc_id").alias("rep"))
+    # Written, so that the join below has plain sides and adaptive execution can split a hot text.
+    first = materialise(real.groupBy("content", "content2").agg(F.min("doc_id").alias("rep")), "first")
     members = materialise(real.select("doc_id", "content", "content2").join(first, ["content", "content2"]).select("doc_id", "rep").distinct(), "members")
     reps = real.join(members.where(F.col("doc_id") == F.col("rep")).select("doc_id"), "doc_id", "left_semi")
     entries = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "bucket"))
