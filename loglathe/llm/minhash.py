@@ -1,10 +1,11 @@
 """Near-duplicate documents by ProbMinHash: exponential arrivals, banding, verification.
 
-A document is the weighted set of its five-word shingles (words: runs of letters and digits, lower-cased; a text of
-fewer words is one shingle; weight ``1 + ln(count)``). Each shingle is a Poisson process of rate its weight: its
+A document is the set of its distinct five-word shingles (words: runs of letters and digits, lower-cased; a text of
+fewer words is one shingle), each of weight 1. Each shingle is a Poisson process of rate its weight: its
 arrivals fall on random registers, and a register keeps the shingle that arrives first. Shingles whose next
 arrival is later than the latest register stop (early termination), so most are touched once. Two documents agree on
-a register with their probability Jaccard as chance.
+a register with their probability Jaccard as chance; at equal weights that is the Jaccard of the distinct shingles, which is
+also what is verified. (Weights that grow with a shingle's count would lose pairs whose unshared shingles are repeated.)
 
 Signatures are cut into bands. In a bucket every member is first compared with one pivot only (the least by a hash of id
 and band, so the bands of a large family have different pivots), and a bucket of any size gives as many candidates as
@@ -148,8 +149,8 @@ def sketch(docs: DataFrame) -> DataFrame:
                 n = np.array([len(x) for x in part["words"]], dtype=np.int64)
                 words = np.concatenate([*part["words"], np.zeros(0, dtype=np.int64)]).astype(np.int64)
                 hashes, owner = shingles(words, n)
-                h, d, count = weighted(hashes, owner)
-                sig = prob_minhash(h, d, 1 + np.log(count), len(n))
+                h, d, _ = weighted(hashes, owner)
+                sig = prob_minhash(h, d, np.ones(len(h)), len(n))
                 bands = np.zeros((len(n), BANDS), dtype=np.uint64)
                 with np.errstate(over="ignore"):
                     for k in range(ROWS):

@@ -364,6 +364,16 @@ def test_near_duplicate_chains(spark):
     assert got == classes_by_brute_force(texts) and len(set(got.values())) == 1
 
 
+def test_near_duplicates_with_repeated_passages(spark):
+    """What one of two near copies does not share occurs in it a hundred times."""
+    texts = []
+    for k in range(30):
+        base = [f"a{k}x{i}" for i in range(104)]
+        texts += [" ".join(base), " ".join(base + [f"b{k}x{i}" for i in range(20 if k % 3 else 30)] * 100)]
+    got = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(frame(spark, texts)).collect()}
+    assert got == classes_by_brute_force(texts) and len(set(got.values())) == 40
+
+
 def test_prob_minhash_estimates_jaccard():
     r = np.random.default_rng(8)
     a = r.integers(0, 2**62, 900).astype(np.uint64)
