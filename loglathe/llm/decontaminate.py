@@ -6,7 +6,9 @@ template, and the plain lower-cased words (which also finds passages whose case
 first and last token occur as such in a benchmark window (a fixed-size bit table decides) are hash-joined with those of the benchmark; a match is verified on the words, and the slots of all matched windows
 of an (item, document, alignment) must map the item's values one-to-one to the document's. A document that repeats
 an item with other numbers, names or units is thus caught; windows with fewer than ``MIN_LITERAL`` plain words say
-too little about an item and are not used as templates. Where slots contradict each other, only plain windows count.
+too little about an item and are not used as templates. Where no window of an item has so many, its template windows are
+widened: to the least width at which one has, else to the whole item (only an item without any plain word has no
+template form). Where slots contradict each other, only plain windows count.
 
 Edge cases: null, empty and shorter-than-a-window texts never match, except that an item of fewer than ``width`` but at
 least ``MIN_LITERAL`` words is matched by a window of its own length; repeated rows of either table count once per
@@ -98,20 +100,26 @@ def benchmark_windows(benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """item_id, at, words, templ (the item's window, raw and canonical), is_template, hash."""
     items = benchmark.select("item_id", words_of(F.col("text")).alias("w")).where(F.size("w") >= MIN_LITERAL).dropDuplicates()
     items = items.select("item_id", "w", template_of("w").alias("t"), F.least(F.size("w"), F.lit(width)).alias("k"))
-    at = items.select("*", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1)).alias("at"))
-    cut = at.select("item_id", "at", "k", F.slice("w", F.col("at"), F.col("k")).alias("words"), F.slice("t", F.col("at"), F.col("k")).alias("templ"))
-    literal = F.size(F.filter("templ", lambda x: ~x.isin(NUM, NAME, UNIT)))
-    plain = cut.select("*", F.lit(False).alias("is_template"), _hashes(F.transform("words", F.lower)).alias("h"))
-    templ = cut.where(literal >= MIN_LITERAL).select("*", F.lit(True).alias("is_template"), _hashes(F.col("templ")).alias("h"))
+    literal = lambda x: ~x.isin(NUM, NAME, UNIT)
+    items = items.withColumn("places", F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: literal(F.get("t", i - 1))))
+    spans = F.transform(F.slice("places", F.lit(1), F.greatest(F.size("places") - (MIN_LITERAL - 1), F.lit(0))), lambda x, i: F.get("places", i + (MIN_LITERAL - 1)) - x + 1)
+    wide = items.where(F.size("places") > 0).withColumn("k", F.greatest("k", F.coalesce(F.array_min(spans), F.size("w"))))
+
+    def cut(rows: DataFrame) -> DataFrame:
+        at = rows.select("*", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("k") + 1)).alias("at"))
+        return at.select("item_id", "at", "k", F.slice("w", F.col("at"), F.col("k")).alias("words"), F.slice("t", F.col("at"), F.col("k")).alias("templ"), (F.col("k") == F.size("w")).alias("whole"))
+
+    plain = cut(items).select("*", F.lit(False).alias("is_template"), _hashes(F.transform("words", F.lower)).alias("h"))
+    templ = cut(wide).where(F.col("whole") | (F.size(F.filter("templ", literal)) >= MIN_LITERAL)).select("*", F.lit(True).alias("is_template"), _hashes(F.col("templ")).alias("h"))
     both = plain.unionByName(templ)
-    return both.select("*", F.xxhash64("h", F.col("is_template").cast("int")).alias("hash"), F.hash(F.get("h", F.lit(0)), F.get("h", F.col("k") - 1)).bitwiseAND(F.lit((1 << BIT_PLACES) - 1)).alias("ends")).drop("h")
+    return both.select("*", F.xxhash64("h", F.col("is_template").cast("int")).alias("hash"), F.hash(F.get("h", F.lit(0)), F.get("h", F.col("k") - 1)).bitwiseAND(F.lit((1 << BIT_PLACES) - 1)).alias("ends")).drop("h", "whole")
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
     """One row per (doc_id, item_id) found: n_windows, exact (all slots alike) and the alignments found."""
     marks = benchmark_windows(benchmark, width)
     ends: dict[tuple[int, bool], list[int]] = {}
-    for r in marks.select("k", "is_template", "ends").distinct().collect():  # at most 2 * width * 2**BIT_PLACES rows
+    for r in marks.select("k", "is_template", "ends").distinct().collect():  # at most 2**BIT_PLACES rows per channel and window width
         ends.setdefault((r["k"], r["is_template"]), []).append(r["ends"])
     n_marks = marks.count()
     tokens = _tokenised(docs, "doc_id")

@@ -490,6 +490,16 @@ def test_slots_must_map_one_to_one(spark):
     assert got[1] == (False, 1)
 
 
+def test_leaks_of_short_and_slot_dense_items(spark):
+    items = ["What is 12 times 7", "How many days are in 3 weeks", " ".join(f"w{'abcdefgh'[i]} {i + 10}" for i in range(8)), "Add 1 2 3 4 5 6 7 8 9 now", "11 22 33 44 55"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    other = ["What is 5 times 9", "How many days are in 6 weeks", " ".join(f"w{'abcdefgh'[i]} {i + 70}" for i in range(8)), "Add 21 22 23 24 25 26 27 28 29 now", "1 2 3 4 5"]
+    texts = [f"before {x} after" for x in [*other, *items, "What is 5 plus 9"]]
+    got = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontaminate.find_leaks(frame(spark, texts), bench).collect()}
+    # An item of slots alone has its plain form only.
+    assert got == {(0, 0): False, (1, 1): False, (2, 2): False, (3, 3): False, **{(5 + i, i): True for i in range(5)}}
+
+
 def test_leaks_without_broadcast(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
     bench = spark.createDataFrame([(1, "one two three four five six seven eight nine")], "item_id long, text string")
