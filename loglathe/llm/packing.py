@@ -35,17 +35,44 @@ SEQUENCE = 1024
 #: Sequences in a window, over which the mixture is kept.
 WINDOW_SEQUENCES = 64
 END = 0
-#: Sources beyond so many share queues by hash, which bounds the plan that every task gets.
+#: Queues at most, which bounds the plan that every task gets. Beyond it, sources with a target (at most half as many)
+#: or else the largest half as many keep queues of their own; the others share the rest.
 MAX_QUEUES = 4096
 #: Up to so many rows (of about 50 bytes) of queue starts are broadcast.
 BROADCAST_ROWS = 500_000
 
-ENCODED = "doc_id long, queue string, ids binary, n int, task int, start long"
+ENCODED = "doc_id long, queue string, source string, ids binary, n int, task int, start long"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string"
 
 
-def encode(docs: DataFrame, queue: str = "source", vocabulary: str | None = None) -> DataFrame:
-    """Each row's ids (16-bit little endian, END last) with its place in its task's part of its queue."""
+def _name(source: str | None) -> str:
+    return "null" if source is None else f"={source}"
+
+
+def _queues(named: DataFrame, targets: dict[str, float] | None) -> DataFrame:
+    """``named`` with the queues of small sources shared where there are more than :data:`MAX_QUEUES` sources.
+
+    With targets, sources that have none are one queue, served when the others have run dry. Without, they share by hash, and a
+    shared queue's share is the sum of its sources' own.
+    """
+    if named.select("queue").distinct().limit(MAX_QUEUES + 1).count() <= MAX_QUEUES:
+        return named
+    if targets:
+        own = [_name(s) for s, w in targets.items() if w > 0]
+        if len(own) > MAX_QUEUES // 2:
+            raise ValueError(f"{len(own)} targets: at most {MAX_QUEUES // 2} sources can have a target of their own")
+        shared = F.lit("rest")
+    else:
+        sizes = named.groupBy("queue").agg(F.sum(F.length(F.coalesce("text", F.lit(""))) + 1).alias("size"))
+        own = [r["queue"] for r in sizes.orderBy(F.desc("size"), "queue").limit(MAX_QUEUES // 2).collect()]
+        shared = F.concat(F.lit("rest"), F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES - len(own))).cast("string"))
+    kept = named.sparkSession.createDataFrame([(q,) for q in own], "queue string").withColumn("own", F.lit(True))
+    joined = named.join(F.broadcast(kept), "queue", "left")
+    return joined.select("doc_id", F.when(F.col("own"), F.col("queue")).otherwise(shared).alias("queue"), "source", "text")
+
+
+def encode(docs: DataFrame, queue: str = "source", vocabulary: str | None = None, targets: dict[str, float] | None = None) -> DataFrame:
+    """Each row's ids (16-bit little endian, END last) with its source and its place in its task's part of its queue."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -61,12 +88,11 @@ def encode(docs: DataFrame, queue: str = "source", vocabulary: str | None = None
                     n.append(len(x))
                     start.append(at.get(q, 0))
                     at[q] = start[-1] + len(x)
-                yield pd.DataFrame({"doc_id": part["doc_id"], "queue": part["queue"], "ids": ids, "n": n, "task": task, "start": start})
+                yield pd.DataFrame({"doc_id": part["doc_id"], "queue": part["queue"], "source": part["source"], "ids": ids, "n": n, "task": task, "start": start})
 
-    named = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), F.col(queue).cast("string")), F.lit("null")).alias("queue"), "text")
-    n_queues = named.agg(F.approx_count_distinct("queue")).first()[0] if queue in docs.columns else 0
-    if n_queues > MAX_QUEUES // 2:
-        named = named.withColumn("queue", F.pmod(F.xxhash64("queue"), F.lit(MAX_QUEUES)).cast("string"))
+    source = F.col(queue).cast("string")
+    named = docs.select("doc_id", F.coalesce(F.concat(F.lit("="), source), F.lit("null")).alias("queue"), source.alias("source"), "text")
+    named = _queues(named, targets)
     return materialise(named.mapInPandas(run, ENCODED), "ids")
 
 
@@ -91,8 +117,7 @@ class Mixture:
             x += step
             for q in left:
                 served[q] += step * per[q]
-                if per[q]:
-                    self.points[q].append((x, served[q]))
+                self.points[q].append((x, served[q]))  # flat while a queue without a share waits
             left = {q for q in left if served[q] < totals[q]}
         self.totals = totals
         self.n_windows = -(-int(x) // self.stride) if self.queues else 0
@@ -166,14 +191,16 @@ def cut(mixture: Mixture, queue: str, place: int, n: int) -> Iterator[tuple[int,
 
 def pack(docs: DataFrame, targets: dict[str, float] | None = None, vocabulary: str | None = None) -> DataFrame:
     """Pieces of all documents: :data:`PIECES`. ``targets``: token share by source, default the corpus's own."""
-    ids = encode(docs, vocabulary=vocabulary)
+    ids = encode(docs, vocabulary=vocabulary, targets=targets)
     parts = ids.groupBy("queue", "task").agg(F.sum("n").alias("tokens"))
     from pyspark.sql.window import Window
 
     running = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("before", F.coalesce(F.sum("tokens").over(running), F.lit(0)))
     totals = {r["queue"]: r["t"] for r in ids.groupBy("queue").agg(F.sum("n").alias("t")).collect()}  # <= MAX_QUEUES rows
-    wanted = {("null" if s is None else f"={s}"): w for s, w in targets.items()} if targets else None
+    wanted = {_name(s): w for s, w in targets.items()} if targets else None
+    if wanted and totals and not any(wanted.get(q, 0) > 0 for q in totals):
+        raise ValueError("no source of the documents has a target")
     mixture = Mixture(totals, wanted)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -181,9 +208,8 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, vocabulary: s
         for pdf in batches:
             for low in range(0, len(pdf), 512):
                 out = []
-                for d, q, raw, n, place in pdf.iloc[low : low + 512].itertuples(index=False):
+                for d, q, source, raw, n, place in pdf.iloc[low : low + 512].itertuples(index=False):
                     full = np.frombuffer(raw, dtype="<u2").astype("<u4").tobytes()
-                    source = q[1:] if q.startswith("=") else None
                     for start, length, seq, at in cut(mixture, q, place, n):
                         out.append((d, start, length, zlib.crc32(full[4 * start : 4 * (start + length)]), n, seq, at, source))
                 yield pd.DataFrame(out, columns=names).astype({"doc_id": "Int64"})
@@ -191,7 +217,7 @@ def pack(docs: DataFrame, targets: dict[str, float] | None = None, vocabulary: s
     parts = materialise(parts.select("queue", "task", "before"), "parts")
     # A row per queue and task: broadcast while that is small, so that the ids stay where they are.
     placed = ids.join(F.broadcast(parts) if parts.count() <= BROADCAST_ROWS else parts, ["queue", "task"])
-    return placed.select("doc_id", "queue", "ids", "n", (F.col("before") + F.col("start")).alias("place")).mapInPandas(run, PIECES)
+    return placed.select("doc_id", "queue", "source", "ids", "n", (F.col("before") + F.col("start")).alias("place")).mapInPandas(run, PIECES)
 
 
 def op6_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -311,6 +311,24 @@ def test_packing(docs, targets):
         assert at <= packing.SEQUENCE
 
 
+def test_packing_of_many_sources(spark, monkeypatch):
+    """Beyond MAX_QUEUES sources, targets hold and pieces name their source."""
+    monkeypatch.setattr(packing, "MAX_QUEUES", 4)
+    monkeypatch.setattr(packing.Mixture.__init__, "__defaults__", (None, 1024))
+    texts = ["one two three " * 300 for _ in range(24)]
+    source = lambda i: "a" if i < 8 else "b" if i < 16 else None if i == 16 else f"s{i}"
+    df = spark.createDataFrame([(i, t, source(i)) for i, t in enumerate(texts)], "doc_id long, text string, source string").repartition(3)
+    for targets, want in [({"a": 0.75, "b": 0.25}, {"a": 0.75, "b": 0.25}), (None, {"a": 1 / 3, "b": 1 / 3})]:
+        rows = packing.pack(df, targets).collect()
+        assert all(r["source"] == source(r["doc_id"]) for r in rows) and {r["doc_id"] for r in rows} == set(range(24))
+        first = [r for r in rows if r["sequence_id"] < 5]
+        for s, share in want.items():
+            assert sum(r["length"] for r in first if r["source"] == s) / sum(r["length"] for r in first) == pytest.approx(share, abs=0.01)
+    for wrong in ({"a": 0.2, "b": 0.2, "s20": 0.6}, {"missing": 1.0}):
+        with pytest.raises(ValueError):
+            packing.pack(df, wrong)
+
+
 def test_mixture_follows_its_targets():
     totals = {"a": 500_000, "b": 300_000, "c": 40_000}
     m = packing.Mixture(totals, {"a": 0.5, "b": 0.25, "c": 0.25}, window=4096)
