@@ -14,7 +14,7 @@ def components(edges: DataFrame, tag: str = "components", max_rounds: int = 60)
     Each round sends every node's larger (then smaller) neighbours to its least neighbour. The minimum is a partial
     aggregate, and the join back is an ordinary equi-join that adaptive execution can split, so a hub with a third
     of all edges is never gathered in a task. Rounds are written to the shared folder; the loop stops when the edge
-    set no longer changes (logarithmically many rounds). Only one row of counts reaches the driver per round.
+    set no longer changes (logarithmically many rounds; more than ``max_rounds`` are an error). Only one row of counts reaches the driver per round.
     """
     a, b = F.col("a"), F.col("b")
     current = materialise(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), tag)
@@ -35,14 +35,12 @@ def components(edges: DataFrame, tag: str = "components", max_rounds: int = 60)
         h = F.xxhash64("a", "b")
         return tuple(e.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 24)), F.sum("b")).first())
 
-    before = mark(current)
-    for _ in range(max_rounds):
-        if not before[0]:
-            break
-        current = materialise(star(star(current, True), False), tag)
+    after, rounds = mark(current), 0
+    before = None if after[0] else after
+    while after != before:
+        if rounds == max_rounds:
+            raise RuntimeError(f"components are not settled after {rounds} rounds")
+        current, before, rounds = materialise(star(star(current, True), False), tag), after, rounds + 1
         after = mark(current)
-        if after == before:
-            break
-        before = after
     pairs = current.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return pairs.unionByName(current.select(F.col("b").alias("id"), F.col("b").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))

@@ -7,19 +7,21 @@ arrival is later than the latest register stop (early termination), so most are
 a register with their probability Jaccard as chance; at equal weights that is the Jaccard of the distinct shingles, which is
 also what is verified. (Weights that grow with a shingle's count would lose pairs whose unshared shingles are repeated.)
 
-Signatures are cut into bands. In a bucket every member is first compared with one pivot only (the least by a hash of id
-and band, so the bands of a large family have different pivots), and a bucket of any size gives as many candidates as
-members. Verified links give components. Members of one bucket that are still in *different* components then meet in an exact
-prefix join: their shingles are ordered by rarity, and only documents that share one of their rarest shingles, at places that
-leave room for the overlap they need, are compared. So no link between components is lost to the choice of pivots, and a
-large family that is alike, but not alike enough, gives few pairs. Candidates whose signatures agree on fewer registers than chance allows for
-the threshold are dropped; the others are verified on the shingle sets: Jaccard at least ``threshold``.
+Signatures are cut into ``BANDS`` bands of ``ROWS``. Two documents at the threshold share no band with a chance of
+(1 - 0.8**4)**24, about 3 in a million, and less above it. In a bucket every member is first compared with one pivot only (the least by a
+hash of id and band, so the bands of a large family have different pivots), and a bucket of any size gives as many candidates as
+members. Candidates of which one has too few shingles for the threshold are dropped (an exact bound); all others are verified on the
+shingle sets: Jaccard at least ``threshold``. Verified links give components. Members of one bucket that are still in *different* components
+then meet in an exact prefix join: their shingles are ordered by rarity, and only documents that share one of their rarest
+shingles, at places that leave room for the overlap they need, are compared. So no link between components is lost to the choice of
+pivots, and a large family that is alike, but not alike enough, gives few pairs.
 
 Equal word sequences are one class from the start; their copies are not compared. A third of all rows in one group of
 copies is one row after the first (map-side combined) aggregation.
 
-Edge cases: null, empty and word-less texts are never linked (each is a class of its own); repeated rows share one id
-and give one row; an empty table gives an empty result; extra columns are ignored; long texts are sketched whole.
+Edge cases: null, empty and word-less texts are never linked (each is a class of its own); rows that share a doc_id are one
+document, judged by one of its texts (the least by a hash); rows without a doc_id are not compared and give a row each with a null class
+that is kept; an empty table gives an empty result; extra columns are ignored; long texts are sketched whole.
 """
 
 from __future__ import annotations
@@ -31,21 +33,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import columns, fresh, materialise
 from .components import components
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 16, 4
+BANDS, ROWS = 24, 4
 REGISTERS = BANDS * ROWS
-#: Registers two documents at the threshold share at least, but for one in 30,000 pairs (four standard deviations).
 #: Ids of candidates are broadcast to the scan of the texts up to so many (16 bytes each); beyond, the join shuffles.
 BROADCAST_ROWS = 1_000_000
 #: Bits of the parity bitmaps.
 PARITY = 512
-AGREE = int(REGISTERS * THRESHOLD - 4 * (REGISTERS * THRESHOLD * (1 - THRESHOLD)) ** 0.5)
 
-SKETCH = "doc_id long, content long, content2 long, n long, sig array<int>, bands array<long>"
+SKETCH = "doc_id long, version long, content long, content2 long, n long, bands array<long>"
 
 
 def word_hashes(text: Column) -> Column:
@@ -74,8 +74,6 @@ def shingles(words: np.ndarray, n: np.ndarray, width: int = SHINGLE) -> tuple[np
             rolled = rolled * np.uint64(0x100000001B3)
             part = x[k:]
             rolled[: len(part)] += part  # windows that run over the document's end are dropped below
-            if k and len(x):
-                rolled[len(part) :] += np.uint64(0)
     keep = within + width <= n[doc]
     short = np.flatnonzero((n > 0) & (n < width))
     hashes, owner = _scramble(rolled[keep]), doc[keep]
@@ -139,8 +137,13 @@ def _grouped(arrays: pd.Series, limit: int = 400_000) -> Iterator[tuple[int, int
         yield low, len(arrays)
 
 
+def version_of(text: str = "text") -> Column:
+    """Tells the texts of one doc_id apart."""
+    return F.xxhash64(text)
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """:data:`SKETCH` of every row: a 128-bit key of its words, the number of distinct shingles, registers and band keys."""
+    """:data:`SKETCH` of every row with a doc_id: its text's version, a 128-bit key of its words, the number of distinct shingles, and band keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -155,17 +158,15 @@ def sketch(docs: DataFrame) -> DataFrame:
                 with np.errstate(over="ignore"):
                     for k in range(ROWS):
                         bands = _scramble(bands * np.uint64(31) + sig.reshape(len(n), BANDS, ROWS)[:, :, k])
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"].to_numpy(), "content": part["content"].to_numpy(), "content2": part["content2"].to_numpy(),
-                    "n": np.bincount(d, minlength=len(n)), "sig": list(sig.view(np.int32)), "bands": list(bands.view(np.int64)),
-                })
+                same = {c: part[c].to_numpy() for c in ("doc_id", "version", "content", "content2")}
+                yield pd.DataFrame({**same, "n": np.bincount(d, minlength=len(n)), "bands": list(bands.view(np.int64))})
 
-    words = docs.select("doc_id", word_hashes(F.col("text")).alias("words"))
-    return words.select("doc_id", "words", F.xxhash64("words").alias("content"), F.xxhash64(F.lit(1), "words").alias("content2")).mapInPandas(run, SKETCH)
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), version_of().alias("version"), word_hashes(F.col("text")).alias("words"))
+    return named.select("doc_id", "version", "words", F.xxhash64("words").alias("content"), F.xxhash64(F.lit(1), "words").alias("content2")).mapInPandas(run, SKETCH)
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``id``, ``n``, ``items`` (distinct 64-bit shingle hashes) and ``bits`` (their parity bitmap) of documents whose id is in ``ids``."""
+    """``id``, ``n``, ``items`` (distinct 64-bit shingle hashes) and ``bits`` (their parity bitmap) of the documents (id, version) in ``ids``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -180,9 +181,10 @@ def shingle_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
                 bits = np.packbits(odd.astype(np.uint8), axis=1).view(np.int64)
                 yield pd.DataFrame({"id": part["doc_id"].to_numpy(), "n": count, "items": np.split(h.view(np.int64), np.cumsum(count)[:-1]), "bits": list(bits)})
 
-    ids = materialise(ids.select(F.col("id").alias("doc_id")).distinct(), "candidate-ids")
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
-    return materialise(texts.select("doc_id", word_hashes(F.col("text")).alias("words")).mapInPandas(run, "id long, n int, items array<long>, bits array<long>"), "sets")
+    ids = materialise(ids.select(F.col("id").alias("doc_id"), "version").distinct(), "candidate-ids")
+    texts = docs.select("doc_id", version_of().alias("version"), "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, ["doc_id", "version"])
+    sets = texts.select(F.col("doc_id").cast("long").alias("doc_id"), word_hashes(F.col("text")).alias("words")).mapInPandas(run, "id long, n int, items array<long>, bits array<long>")
+    return materialise(sets.dropDuplicates(["id"]), "sets")  # a document may be in several rows
 
 
 def verify(candidates: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -220,43 +222,55 @@ def prefix_pairs(left: DataFrame, sets: DataFrame, threshold: float = THRESHOLD)
     return pairs.select(F.col("xid").alias("a"), F.col("yid").alias("b")).distinct()
 
 
-def _agree(x: str, y: str) -> Column:
-    return F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda same: same)) >= AGREE
-
-
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (least doc_id of its class) and kept (doc_id = class_id) of every document."""
-    rows = materialise(sketch(docs), "sketch")
-    solo = rows.where(F.col("n") == 0).select("doc_id")
+    classes = _classes(docs, threshold).select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"))
+    return classes.unionByName(nameless)
+
+
+def _classes(docs: DataFrame, threshold: float) -> DataFrame:
+    """doc_id, version (the text judged) and class_id of every doc_id."""
+    every = materialise(sketch(docs), "sketch")
+    versions = every.groupBy("doc_id").agg(F.min("version").alias("judged"), F.max("version").alias("last")).where("judged < last").select("doc_id", "judged")
+    rows = every.join(materialise(versions, "versions"), "doc_id", "left").where("judged is null or version = judged").drop("judged")
+    solo = rows.where(F.col("n") == 0).select("doc_id", "version")
     real = rows.where(F.col("n") > 0)
     # Written, so that the join below has plain sides and adaptive execution can split a hot text.
     first = materialise(real.groupBy("content", "content2").agg(F.min("doc_id").alias("rep")), "first")
-    members = materialise(real.select("doc_id", "content", "content2").join(first, ["content", "content2"]).select("doc_id", "rep").distinct(), "members")
-    reps = real.join(members.where(F.col("doc_id") == F.col("rep")).select("doc_id"), "doc_id", "left_semi")
-    entries = reps.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "bucket"))
+    members = real.select("doc_id", "version", "content", "content2").join(first, ["content", "content2"])
+    members = materialise(members.select("doc_id", "version", "rep").distinct(), "members")
+    own = members.where(F.col("doc_id") == F.col("rep")).select("doc_id")
+    reps = materialise(real.join(own, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "version", "n", "bands").dropDuplicates(["id"]), "reps")
+    entries = reps.select("id", F.posexplode("bands").alias("band", "bucket"))
     buckets = entries.groupBy("band", "bucket").agg(F.min_by("id", F.xxhash64("id", "band")).alias("pivot"), F.count("*").alias("size")).where("size > 1")
+    # Written apart, or the aggregation would keep adaptive execution from splitting a hot bucket in the join.
+    buckets = materialise(buckets.select("band", "bucket", "pivot"), "pivots")
     shared = materialise(entries.join(buckets, ["band", "bucket"]).select("band", "bucket", "id", "pivot"), "buckets")
     stars = shared.where("id != pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    signed = reps.select(F.col("doc_id").alias("id"), "sig")
-    known = stars.join(signed.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(signed.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
-    tried = materialise(known.where(_agree("x", "y")).select("a", "b"), "candidates")
-    sets = shingle_sets(docs, tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id"))))
+    sizes = reps.select("id", "n")
+    known = stars.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("x")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("y")), "b")
+    tried = materialise(known.where(F.least("x", "y") >= threshold * F.greatest("x", "y") - 1e-6).select("a", "b"), "candidates")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return shingle_sets(docs, reps.select("id", "version").join(ids, "id", "left_semi"))
+
+    sets = sets_of(tried.select(F.col("a").alias("id")).unionByName(tried.select(F.col("b").alias("id"))).distinct())
     linked = materialise(verify(tried, sets, threshold), "links")
     comp = components(linked)
     # What the pivots may have missed: members of one bucket that are still in different components.
-    labelled = shared.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = materialise(shared.join(comp, "id", "left").select("band", "bucket", "id", F.coalesce("component", "id").alias("component")), "labelled")
     mixed = labelled.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "bucket")
-    left = materialise(labelled.join(mixed, ["band", "bucket"]).select("id", "component").distinct(), "mixed")
+    left = materialise(labelled.join(materialise(mixed, "mixed-buckets"), ["band", "bucket"]).select("id", "component").distinct(), "mixed")
     if not left.isEmpty():
-        sets = shingle_sets(docs, left)
+        sets = sets_of(left.select("id"))
         missed = materialise(prefix_pairs(left, sets, threshold).join(tried, ["a", "b"], "left_anti"), "missed")
         found = materialise(verify(missed, sets, threshold), "links")
         if not found.isEmpty():
             linked = linked.unionByName(found)
             comp = components(linked)
-    classes = members.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
-    every = classes.unionByName(solo.select("doc_id", F.col("doc_id").alias("class_id"))).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    return every.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    classes = members.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc_id", "version", F.coalesce("component", "rep").alias("class_id"))
+    return classes.unionByName(solo.select("doc_id", "version", F.col("doc_id").alias("class_id"))).groupBy("doc_id", "version").agg(F.min("class_id").alias("class_id"))
 
 
 def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -267,6 +281,14 @@ def op7_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each class stays."""
-    gone = near_duplicates(docs).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: one document of each class stays, and of rows that repeat its doc_id and text one row.
+
+    Rows that share a doc_id with another text that was judged stay, and so do rows without a doc_id.
+    """
+    version, again = fresh(docs, "version"), fresh(docs, "again")
+    gone = _classes(docs, THRESHOLD).where("doc_id != class_id").select("doc_id", F.col("version").alias(version))
+    left = docs.withColumn(version, version_of()).join(gone, ["doc_id", version], "left_anti")
+    repeated = left.where("doc_id is not null").groupBy("doc_id", version).agg(F.count("*").alias(again)).where(F.col(again) > 1)
+    left = left.join(materialise(repeated, "repeated"), ["doc_id", version], "left")
+    once, more = left.where(F.col(again).isNull()), left.where(F.col(again).isNotNull()).dropDuplicates(["doc_id", version])
+    return once.unionByName(more).select(*columns(docs))
