@@ -40,3 +40,12 @@ class Encoder:
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
         return [self.encode(t) for t in texts]
+
+
+def id_type(vocabulary: str | None = None) -> str:
+    """The numpy type that holds a vocabulary's ids: 16 bits unless it has more than 65,536."""
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    size = Tokenizer.from_file(vocabulary or public.path("byte_bpe_50k.json")).get_vocab_size()
+    return "<u2" if size <= 1 << 16 else "<u4"
