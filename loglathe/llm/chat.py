@@ -5,8 +5,9 @@ Template: every turn becomes ``### <role>: <text></turn>\n``. Inside roles and t
 
 Windows: prefix sums of the turns' token counts choose maximal spans of new turns that fit the budget together with
 the conversation's leading system turn (kept in every window) and at most ``history`` earlier turns (repeated as
-context). Loss covers assistant texts among the *new* turns only; repeated ones are masked. A turn that alone exceeds
-the budget gets a window of its own.
+context). A turn's count is that of its formatted, escaped text; a window's is their sum, which is that of the whole window, as no token of the
+vocabulary's splitting spans two turns. Loss covers assistant texts among the *new* turns only; repeated ones are masked. Turns are
+not split: one that exceeds the budget, alone or with the system turn, gets a window that exceeds it too.
 
 Edge cases: null text or role counts as empty; ties of ``turn`` are ordered by role and text; repeated rows are turns
 of their own; null ``conv_id`` is a conversation; an empty table gives an empty result; extra columns are ignored.
@@ -24,18 +25,20 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import id_parts, id_whole
 from .tokens import Encoder
 
-_ESCAPE = re.compile(r"[\\<#:]")
+_ESCAPE = re.compile(r"[\\<#]")
+_ESCAPE_ROLE = re.compile(r"[\\<#:]")
 _UNESCAPE = re.compile(r"\\(.)", re.DOTALL)
 _TURN = re.compile(r"### ([^\\:]*(?:\\.[^\\:]*)*): ([^\\<]*(?:\\.[^\\<]*)*)</turn>\n", re.DOTALL)
 
-WINDOWS = "conv_id long, window int, formatted string, loss array<struct<start:int,end:int>>, fresh array<boolean>, n_tokens int"
-DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
+WINDOWS = "conv_id long, no_id boolean, window int, formatted string, loss array<struct<start:int,end:int>>, fresh array<boolean>, n_tokens int"
+DIGESTS = "conv_id long, no_id boolean, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_windows long"
 
 
-def escape(text: str) -> str:
-    return _ESCAPE.sub(lambda m: "\\" + m[0], text)
+def escape(text: str, pattern: re.Pattern = _ESCAPE) -> str:
+    return pattern.sub(lambda m: "\\" + m[0], text)
 
 
 def unescape(text: str) -> str:
@@ -44,14 +47,14 @@ def unescape(text: str) -> str:
 
 def format_turn(role: str, text: str) -> tuple[str, int, int]:
     """The formatted turn and where its text lies in it."""
-    head, body = f"### {escape(role)}: ", escape(text)
+    head, body = f"### {escape(role, _ESCAPE_ROLE)}: ", escape(text)
     return f"{head}{body}</turn>\n", len(head), len(head) + len(body)
 
 
 class _Windows:
     """The windows of one conversation, built turn by turn."""
 
-    def __init__(self, conv: int | None, budget: int, history: int) -> None:
+    def __init__(self, conv: tuple, budget: int, history: int) -> None:
         self.conv, self.budget, self.history = conv, budget, history
         self.system: tuple | None = None
         self.past: list[tuple] = []  # the last turns already trained on
@@ -82,7 +85,7 @@ class _Windows:
                 fresh.append(is_new)
                 at += len(s)
                 cost += tokens
-        out = (self.conv, self.number, "".join(text), loss, fresh, cost)
+        out = (*self.conv, self.number, "".join(text), loss, fresh, cost)
         self.past = [*self.past, *(t for t in self.new if t is not self.system)][-self.history :] if self.history else []
         self.new, self.new_cost = [], 0
         self.number += 1
@@ -104,46 +107,43 @@ class _Windows:
             yield self._close()
 
 
-def _same(a: object, b: object) -> bool:
-    return a == b or (pd.isna(a) and pd.isna(b))
-
-
 def format_conversations(rows: DataFrame, budget: int = 512, history: int = 2, vocabulary: str | None = None) -> DataFrame:
-    """Windows of every conversation: :data:`WINDOWS`, a conversation's windows in order in one partition.
+    """Windows of every conversation: :data:`WINDOWS` without ``no_id``, a conversation's windows in order in one partition.
 
     Token counts come from the BPE vocabulary at ``vocabulary`` (default: the 50k byte-level one).
     """
+    windows = _formatted(rows, budget, history, vocabulary)
+    return windows.select(id_whole("conv_id"), *(c for c in windows.columns if c not in ("conv_id", "no_id")))
+
+
+def _formatted(rows: DataFrame, budget: int, history: int, vocabulary: str | None) -> DataFrame:
+    names = [x.split()[0] for x in WINDOWS.split(", ")]
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, state = Encoder(vocabulary), None
         out: list[tuple] = []
         for pdf in batches:
-            costs = [len(x) + 8 for x in encoder.encode_batch(pdf["text"].tolist())]
-            for conv, role, text, cost in zip(pdf["conv_id"], pdf["role"], pdf["text"], costs, strict=True):
-                conv = None if pd.isna(conv) else int(conv)
-                if state is None or not _same(state.conv, conv):
+            for conv, no, role, text in zip(pdf["conv_id"], pdf["no_id"], pdf["role"], pdf["text"], strict=True):
+                if state is None or state.conv != (conv, no):
                     out += state.end() if state else ()
-                    state = _Windows(conv, budget, history)
-                out += state.add(role, text, cost)
+                    state = _Windows((conv, no), budget, history)
+                out += state.add(role, text, len(encoder.encode(format_turn(role, text)[0])))
+                if len(out) >= 1024:
+                    yield pd.DataFrame(out, columns=names)
+                    out = []
             if out:
-                yield _frame(out, ["conv_id", "window", "formatted", "loss", "fresh", "n_tokens"])
+                yield pd.DataFrame(out, columns=names)
                 out = []
         if state:
-            yield _frame(list(state.end()), ["conv_id", "window", "formatted", "loss", "fresh", "n_tokens"])
-
-    clean = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = clean.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return dealt.select("conv_id", "role", "text").mapInPandas(build, WINDOWS)
-
+            yield pd.DataFrame(list(state.end()), columns=names)
 
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=names)
-    out["conv_id"] = out["conv_id"].astype("Int64")
-    return out
+    clean = rows.select(*id_parts("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt = clean.repartition("conv_id", "no_id").sortWithinPartitions("conv_id", "no_id", "turn", "role", "text")
+    return dealt.select("conv_id", "no_id", "role", "text").mapInPandas(build, WINDOWS)
 
 
 class _Digest:
-    def __init__(self, conv: int | None) -> None:
+    def __init__(self, conv: tuple) -> None:
         self.conv, self.turns, self.loss, self.chars, self.windows = conv, 0, 0, 0, 0
         self.all, self.under = hashlib.sha256(), hashlib.sha256()
 
@@ -160,11 +160,11 @@ class _Digest:
         self.windows += 1
 
     def row(self) -> tuple:
-        return (self.conv, self.turns, self.all.hexdigest(), self.loss, self.under.hexdigest(), self.chars, self.windows)
+        return (*self.conv, self.turns, self.all.hexdigest(), self.loss, self.under.hexdigest(), self.chars, self.windows)
 
 
 def read_back(windows: DataFrame) -> DataFrame:
-    """Digests of each conversation, from nothing but the windows' text, spans and flags: :data:`DIGESTS`.
+    """Digests of each conversation, from nothing but the windows' text, spans and flags: :data:`DIGESTS` without ``no_id``.
 
     ``windows`` must come from :func:`format_conversations` or be sorted by (conv_id, window) within partitions
     that hold whole conversations.
@@ -174,20 +174,20 @@ def read_back(windows: DataFrame) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state, out = None, []
         for pdf in batches:
-            for conv, text, loss, fresh in zip(pdf["conv_id"], pdf["formatted"], pdf["loss"], pdf["fresh"], strict=True):
-                conv = None if pd.isna(conv) else int(conv)
-                if state is None or not _same(state.conv, conv):
+            for conv, no, text, loss, fresh in zip(pdf["conv_id"], pdf["no_id"], pdf["formatted"], pdf["loss"], pdf["fresh"], strict=True):
+                if state is None or state.conv != (conv, no):
                     if state:
                         out.append(state.row())
-                    state = _Digest(conv)
+                    state = _Digest((conv, no))
                 state.read(text, loss, fresh)
             if out:
-                yield _frame(out, names)
+                yield pd.DataFrame(out, columns=names)
                 out = []
         if state:
-            yield _frame([state.row()], names)
+            yield pd.DataFrame([state.row()], columns=names)
 
-    return windows.select("conv_id", "formatted", "loss", "fresh").mapInPandas(read, DIGESTS)
+    digests = windows.select(*id_parts("conv_id"), "formatted", "loss", "fresh").mapInPandas(read, DIGESTS)
+    return digests.select(id_whole("conv_id"), *(c for c in digests.columns if c not in ("conv_id", "no_id")))
 
 
 def op9_query(spark: SparkSession, sf_dir: str) -> DataFrame:
