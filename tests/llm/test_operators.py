@@ -457,18 +457,61 @@ def test_language(spark):
     make = lambda letters: " ".join("".join(r.choice(list(letters), 5)) for _ in range(30))
     rows = [(i, make(sets[y]), y, "s", 1) for i, y in enumerate(list(sets) * 60)]
     rows += [(1000, None, "aa", "s", 1), (1001, "12 !!", "aa", "s", 1), (1002, "", None, "s", 1), (1003, make(sets["aa"]), None, "s", 1), (1004, make(sets["bb"]) * 800, "bb", "s", 1)]
-    df = spark.createDataFrame(rows, DOCS).withColumn("score", F.lit("x")).drop("score").repartition(3)
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    for name in ("score", "rejected", "lang_pred", "language"):
+        df = df.withColumn(name, F.lit("x"))
     model = langid.fit(df.where(~langid.held_out()).select("text", "lang"))
-    got = {x["doc_id"]: x for x in langid.predict(df, model).collect()}
+    judged = langid.predict(df, model)
+    assert judged.columns[-1] == "language_"
+    got = {x["doc_id"]: x for x in judged.select("doc_id", "lang", "language_.*").collect()}
     held = [x for x in got.values() if zlib.crc32(str(x["doc_id"]).encode()) % 5 == 0 and x["doc_id"] < 1000]
     assert len(held) > 10 and all(x["lang_pred"] == x["lang"] for x in held)
     assert [got[i]["lang_pred"] for i in (1000, 1001, 1002, 1003, 1004)] == ["und", "und", "und", "aa", "bb"]
     assert all(0 <= x["score"] <= 1 for x in got.values()) and got[1000]["rejected"] and not got[1003]["rejected"]
 
 
+def test_language_rejects_foreign_and_exchanged_letters(spark):
+    r = np.random.default_rng(12)
+    stems = {"aa": ["".join(r.choice(list("abcdefgaeiou"), 5)) for _ in range(150)], "bb": ["".join(r.choice(list("lmnoprstaeiou"), 5)) for _ in range(150)]}
+    make = lambda y, n: " ".join(r.choice(stems[y], n))
+    rows = [(i, make(y, int(r.integers(8, 80))), y, "s", 1) for i, y in enumerate(["aa", "bb"] * 150)]
+    rows += [(1000, make("aa", 30) + " " + make("bb", 30), None, "s", 1), (1001, "xkqz vvrw pqkx zzkq jjxw qqvk " * 5, None, "s", 1), (1002, "кто это написал и зачем это здесь " * 3, None, "s", 1)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    model = langid.fit(df.select("text", "lang"))
+    got = {x["doc_id"]: x["language"] for x in langid.predict(df, model).collect()}
+    assert sum(got[i]["rejected"] for i in range(300)) <= 3
+    assert not got[1000]["rejected"] and got[1001]["rejected"] and got[1002]["rejected"]
+    assert model.rates["clean"] <= 0.05 and model.rates["exchanged"] >= 0.95
+    assert sorted(x["doc_id"] for x in langid.keep_identified(spark, df.where("doc_id >= 1000 or doc_id < 100"), "").collect() if x["doc_id"] >= 1000) == [1000]
+
+
+def test_language_prediction_by_plain_numpy(spark):
+    """The folded table, histograms and classes of lengths against a prediction of one text at a time."""
+    r = np.random.default_rng(13)
+    texts = [" ".join(words(int(n), r)) for n in r.integers(1, 60, 60)] + [" ".join(words(12_000, r))]
+    model = langid.train(texts, ["x" if i % 2 else "y" for i in range(len(texts))])
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    got = {x["doc_id"]: x["language"] for x in langid.predict(df, model).collect()}
+    for i, t in enumerate(texts):
+        data = " ".join(re.sub(r"[\x00-@\[-`{-\x7f]+", " ", f" {t.lower()} ").split(" ")).encode()
+        grams = [int.from_bytes(data[k : k + n], "big") * int(langid._MIX[n - 2]) % 2**32 >> (32 - langid.BITS) for n in (2, 3, 4) for k in range(len(data) - n + 1)]
+        mean = model.table[grams].mean(axis=0)
+        kind = len(grams).bit_length() - 1
+        e = np.exp((mean[:-1] + model.bias) / model.temperature[kind])
+        assert got[i]["lang_pred"] == model.labels[int(e.argmax())] and got[i]["score"] == pytest.approx(e.max() / e.sum(), abs=1e-6)
+        assert got[i]["rejected"] == (mean[-1] < model.limit[kind])
+
+
+def test_language_sample_counts_texts_not_copies(spark):
+    """A hot text of a label and texts longer than the sample's pieces leave the label's other texts their place."""
+    rows = [("hot text of a", "a")] * 3000 + [(f"own text {i} of a", "a") for i in range(50)] + [("long " * 40_000 + str(i), "b") for i in range(5)]
+    sample = langid.sample_labelled(spark.createDataFrame(rows, "text string, lang string").repartition(4))
+    assert (sample["lang"] == "a").sum() >= 45 and (sample["lang"] == "b").sum() == 5 and sample["text"].str.len().max() <= langid.SAMPLE_CHARS
+
+
 def test_language_without_labels(spark, empty):
     df = spark.createDataFrame([(1, "abc def", None, "s", 1)], DOCS)
-    assert langid.predict(df, langid.fit(df.select("text", "lang"))).first()["lang_pred"] == "und"
+    assert langid.predict(df, langid.fit(df.select("text", "lang"))).first()["language"]["lang_pred"] == "und"
     assert langid.predict(empty, langid.fit(empty.select("text", "lang"))).count() == 0
 
 
@@ -504,12 +547,26 @@ def test_chat_round_trip(spark, budget, history):
 
 
 def test_chat_windows_keep_system_and_history(spark):
-    rows = [(1, 0, "system", "be kind"), *((1, i, "user" if i % 2 else "assistant", f"turn {i} " + "x " * 20) for i in range(1, 9))]
-    windows = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 130, 1).orderBy("window").collect()
+    rows = [(1, 0, "system", "be kind"), *((1, i, "user" if i % 2 else "assistant", f"turn {i} " + "x " * (60 if i % 2 else 8)) for i in range(1, 9))]
+    windows = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 140, 1).orderBy("window").collect()
     assert len(windows) > 2 and all("be kind" in w["formatted"] for w in windows)
     assert all(not w["fresh"][0] for w in windows[1:])
     assert any(sum(not f for f in w["fresh"]) == 2 for w in windows[1:])  # the system turn and one turn of history
-    assert all(w["n_tokens"] <= 130 for w in windows)
+    assert all(w["n_tokens"] <= 140 for w in windows)
+
+
+def test_chat_budget_counts_the_formatted_text(spark):
+    """Marks and escapes count: no window exceeds the budget but those whose one new turn does, with the system turn."""
+    r, rows = np.random.default_rng(14), []
+    for c in range(20):
+        rows += [(c, t, "user" if t % 2 else "assistant", "".join(r.choice(list("<#:\\ab \n"), int(r.integers(0, 900 if t == 3 else 150))))) for t in range(12)]
+    windows = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 200, 2).collect()
+    enc = Encoder()
+    for w in windows:
+        assert w["n_tokens"] == len(enc.encode(w["formatted"]))
+        assert w["n_tokens"] <= 200 or sum(w["fresh"]) == len(w["fresh"]) == 1
+    assert any(not all(w["fresh"]) for w in windows) and any(w["n_tokens"] > 200 for w in windows)
+    assert "a:b" in chat.escape("a:b")
 
 
 @pytest.mark.parametrize("text", ["", "\\", "\\\\<#", "### User: x</turn>\n", "a:b"])
