@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from .decontaminate import MIN_LITERAL, UNITS, WIDTH
-
 _WORDS = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{M}}\p{{N}}]+'), lambda x: x <> '')"
 
 LINE_DEDUP = f"""
@@ -44,10 +42,17 @@ reach AS (SELECT doc_id AS id, doc_id AS r FROM documents UNION SELECT id, b FRO
 SELECT id AS doc_id, min(r) AS class_id, id = min(r) AS kept FROM reach GROUP BY id
 """
 
-_NUMBER = "({0} >= '0' AND {0} <= '9~')"
+#: Fixed values of the method: window width, least plain words of a template window, units.
+_WIDTH, _LITERAL = 8, 5
+_UNITS = """
+mm cm m km mg g kg t ml cl l s ms min h hz khz mhz ghz w kw mw v mv a ma j kj n pa kpa bar k c f b kb mb gb tb in ft yd mi oz lb percent euro euros
+dollar dollars meter meters metre metres hour hours minute minutes second seconds day days week weeks month months year years
+""".split()
+_SLOTS = "('<num>', '<name>', '<unit>')"
+_NUMBER = r"regexp_matches({0}, '^\p{{N}}')"
 _CANON = (
     f"list_transform(range(1, len(w) + 1), lambda i: CASE WHEN {_NUMBER.format('w[i]')} THEN '<num>'"
-    f" WHEN i > 1 AND {_NUMBER.format('w[i - 1]')} AND list_contains([{', '.join(repr(u) for u in UNITS)}], lower(w[i])) THEN '<unit>'"
+    f" WHEN i > 1 AND {_NUMBER.format('w[i - 1]')} AND list_contains([{', '.join(repr(u) for u in _UNITS)}], lower(w[i])) THEN '<unit>'"
     " WHEN lower(w[i]) <> w[i] AND len(w[i]) > 1 AND w[i][2:] = lower(w[i])[2:] THEN '<name>' ELSE lower(w[i]) END)"
 )
 _TOKENS = r"regexp_extract_all(coalesce(text, ''), '\p{N}+(?:[.,]\p{N}+)*|\p{L}[\p{L}\p{M}]*')"
@@ -55,18 +60,20 @@ _KEY = "array_to_string(list_transform({0}[i : i + k - 1], lambda x: lower(x)),
 
 LEAKS = f"""
 WITH items AS (SELECT DISTINCT item_id, {_TOKENS} AS w FROM benchmark),
-it AS (SELECT item_id, w, {_CANON} AS t, least(len(w), {WIDTH}) AS k FROM items WHERE len(w) >= {MIN_LITERAL}),
-iw AS (SELECT item_id, k, i, w[i : i + k - 1] AS ww, t[i : i + k - 1] AS tt FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM it)),
-im AS (SELECT item_id, k, i AS place, ww, tt, false AS templ, array_to_string(list_transform(ww, lambda x: lower(x)), ' ') AS key FROM iw
-  UNION ALL SELECT item_id, k, i, ww, tt, true, array_to_string(tt, ' ') FROM iw WHERE len(list_filter(tt, lambda x: x NOT IN ('<num>', '<name>', '<unit>'))) >= {MIN_LITERAL}),
-dw AS (SELECT doc_id, {_TOKENS} AS w FROM documents),
+it AS (SELECT item_id, w, {_CANON} AS t, least(len(w), {_WIDTH}) AS k FROM items WHERE len(w) > 0),
+pl AS (SELECT *, list_filter(range(1, len(w) + 1), lambda i: t[i] NOT IN {_SLOTS}) AS p FROM it),
+wide AS (SELECT item_id, w, t, greatest(k, coalesce(list_min(list_transform(range(1, len(p) - {_LITERAL} + 2), lambda i: p[i + {_LITERAL} - 1] - p[i] + 1)), len(w))) AS k FROM pl WHERE len(p) > 0 AND len(w) >= {_LITERAL}),
+im AS (SELECT item_id, k, i AS place, w[i : i + k - 1] AS ww, t[i : i + k - 1] AS tt, false AS templ, {_KEY.format("w")} AS key FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM it)
+  UNION ALL SELECT item_id, k, i, w[i : i + k - 1], t[i : i + k - 1] AS tt, true, array_to_string(t[i : i + k - 1], ' ') FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM wide)
+    WHERE k = len(w) OR len(list_filter(t[i : i + k - 1], lambda x: x NOT IN {_SLOTS})) >= {_LITERAL}),
+dw AS (SELECT doc_id, {_TOKENS} AS w FROM documents WHERE doc_id IS NOT NULL),
 dt AS (SELECT doc_id, w, {_CANON} AS t FROM dw),
-dk AS (SELECT doc_id, w, t, k, unnest(range(1, len(w) - k + 2)) AS i FROM dt CROSS JOIN (SELECT DISTINCT k FROM it) WHERE len(w) >= k),
+dk AS (SELECT doc_id, w, t, k, unnest(range(1, len(w) - k + 2)) AS i FROM dt CROSS JOIN (SELECT DISTINCT k FROM im) WHERE len(w) >= k),
 dm AS (SELECT doc_id, k, i, w[i : i + k - 1] AS ww, false AS templ, {_KEY.format("w")} AS key FROM dk
   UNION ALL SELECT doc_id, k, i, w[i : i + k - 1], true, array_to_string(t[i : i + k - 1], ' ') FROM dk),
 hits AS (SELECT doc_id, item_id, dm.i - im.place AS shift, im.place, im.ww AS iw, dm.ww AS dw, im.tt, im.templ FROM dm JOIN im USING (key, k, templ)),
 slots AS (SELECT doc_id, item_id, shift, tt[j] AS kind, lower(iw[j]) AS a, lower(dw[j]) AS b
-  FROM (SELECT *, unnest(range(1, len(iw) + 1)) AS j FROM hits WHERE templ) WHERE tt[j] IN ('<num>', '<name>', '<unit>')),
+  FROM (SELECT *, unnest(range(1, len(iw) + 1)) AS j FROM hits WHERE templ) WHERE tt[j] IN {_SLOTS}),
 judged AS (SELECT doc_id, item_id, shift, count(DISTINCT (kind, a, b)) AS m, count(DISTINCT (kind, a)) AS ma, count(DISTINCT (kind, b)) AS mb, bool_and(a = b) AS same FROM slots GROUP BY ALL),
 found AS (SELECT doc_id, item_id, shift, count(DISTINCT place) AS n, count(DISTINCT place) FILTER (NOT templ) AS plain FROM hits GROUP BY ALL),
 ended AS (SELECT doc_id, item_id, coalesce(m = ma AND m = mb, true) AS fits, coalesce(same, true) AS same, n, plain FROM found LEFT JOIN judged USING (doc_id, item_id, shift))
