@@ -1,18 +1,20 @@
 """Document scores by masked pseudo-likelihood with a bidirectional window network.
 
-A token is a lower-cased word or mark, hashed into ``2**VOCAB_BITS`` ids. Its probability given both sides factors into a
-class and a token: p(token | window) = p(class | window) * p(token | class). The network (numpy) sums position-wise
-embeddings of the ``SIDE`` tokens on either side, applies tanh and a softmax over ``CLASSES`` classes of equal corpus
-mass; token frequencies inside a class come from counts over *all* documents. A document's score is the sum of its
-tokens' conditional log-probabilities, each token predicted from both sides.
-
-Training covers all documents: every partition starts from the same weights, runs stochastic gradient descent over
-its own documents (each epoch masks its own hash-chosen share ``MASKED`` of the positions as targets, as masked training
-does), and the partitions' weights are averaged, weighted by their targets. What travels per partition is one set of
-weights, so it grows with the corpus; the average and the counts have a fixed size.
+A token is a lower-cased word or mark, hashed into ``2**VOCAB_BITS`` ids. Its probability given both sides factors into a class, a part of the class
+and the token: p(token | window) = p(class | window) * p(part | class, window) * p(token | part). The network (numpy) sums position-wise
+embeddings of the ``SIDE`` tokens on either side, applies tanh, and has a softmax over ``CLASSES`` classes, bands of equal corpus
+mass in order of frequency, and one over the ``PARTS`` parts of the target's class. Token frequencies inside a part come from counts over
+*all* documents. Frequent context tokens have an embedding of their own, the others share by hash. A document's
+score is the sum of its tokens' conditional log-probabilities, each token predicted from both sides, never seen itself.
+
+The texts are tokenised once; counts, training and scores read the written ids. Training covers all documents and all positions: every partition
+starts from the same weights, runs stochastic gradient descent over its own documents with each position as a target once, and
+the partitions' weights are averaged, weighted by their targets. What travels per partition is one set of weights, so it grows with
+the corpus, as do the counted ids; the average has a fixed size. Weights, and by that scores, depend on how rows lie in partitions.
 
 Edge cases: null, empty and token-less texts have 0 tokens, a sum of 0 and a null mean; one-token texts are predicted from
-padding; repeated rows get equal scores; an empty table gives an empty result; extra columns are ignored.
+padding; repeated rows get equal scores, a null doc_id stays null; an empty table gives an empty result; extra columns are ignored; texts of
+any length are scored whole.
 """
 
 from __future__ import annotations
@@ -24,42 +26,87 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VOCAB_BITS = 15
+from .common import id_parts, id_whole, materialise
+
+VOCAB_BITS = 22
 CLASSES = 64
+PARTS = 64
 SIDE = 2
 DIM = 16
-MASKED = 0.15
-EPOCHS = 2
-RATE = 0.5
-#: Context embeddings are shared by tokens that agree in so many bits of their id.
-CONTEXT_BITS = 12
+RATE = 1.0
+#: Context embeddings: one for each of the most frequent ids, then so many that the other ids share, then padding.
+OWN = 3072
+SHARED = 1024
 VOCAB = 1 << VOCAB_BITS
-PAD = 1 << CONTEXT_BITS
+PAD = OWN + SHARED
+#: The logit of a part that no token is in.
+_NONE = -30.0
 
 
 def token_ids(text: Column) -> Column:
-    """Ids (32-bit) of a text's words and single marks."""
+    """Ids of a text's words and single marks."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{M}\p{N}]+|[^\s\p{L}\p{M}\p{N}]"), F.lit(0))
-    return F.transform(tokens, lambda w: F.pmod(F.hash(w), F.lit(VOCAB)))
+    return F.transform(tokens, lambda w: F.hash(w).bitwiseAND(F.lit(VOCAB - 1)))
+
+
+class Vocabulary:
+    """What the counts say of every id: class, part, log p(token | part), context embedding, and the parts' first logits."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        order = np.argsort(-counts, kind="stable")
+        seen = int(np.count_nonzero(counts))
+        # An id that was never counted weighs half a token.
+        weight = np.where(counts > 0, counts, 0.5)
+        self.cls, self.part, self.context = (np.zeros(VOCAB, dtype=np.int16) for _ in range(3))
+        self.cls[:], self.context[:] = CLASSES - 1, OWN + np.arange(VOCAB) % SHARED
+        top = order[:seen]
+        mass = np.cumsum(counts[top])
+        if seen:
+            self.cls[top] = np.minimum((mass - counts[top] / 2) / mass[-1] * CLASSES, CLASSES - 1).astype(np.int16)
+            starts = np.searchsorted(self.cls[top], np.arange(CLASSES))
+            self.part[top] = (np.arange(seen) - starts[self.cls[top]]) % PARTS
+            self.context[top[:OWN]] = np.arange(min(seen, OWN))
+        cell = self.cls.astype(np.int64) * PARTS + self.part
+        total = np.bincount(cell[top], counts[top], CLASSES * PARTS) if seen else np.zeros(CLASSES * PARTS)
+        self.inside = np.log(weight / np.maximum(total[cell], 0.5)).astype(np.float32)
+        by_class = total.reshape(CLASSES, PARTS)
+        share = by_class / np.maximum(by_class.sum(axis=1, keepdims=True), 1)
+        self.first = np.where(share > 0, np.log(np.maximum(share, 1e-12)), _NONE).astype(np.float32)
+
+    def state(self) -> tuple:
+        """Plain values, to be broadcast."""
+        return self.cls, self.part, self.inside, self.context, self.first
+
+    @classmethod
+    def load(cls, state: tuple) -> Vocabulary:
+        out = cls.__new__(cls)
+        out.cls, out.part, out.inside, out.context, out.first = state
+        return out
 
 
 class Network:
     """Weights as flat arrays; the same shapes on every partition."""
 
-    def __init__(self, seed: int = 1) -> None:
+    def __init__(self, first: np.ndarray | None = None, seed: int = 1) -> None:
         rng = np.random.default_rng(seed)
         self.emb = rng.normal(0, 0.1, (2 * SIDE, PAD + 1, DIM)).astype(np.float32)
         self.out = rng.normal(0, 0.1, (DIM, CLASSES)).astype(np.float32)
         self.bias = np.zeros(CLASSES, dtype=np.float32)
+        self.out_part = np.zeros((DIM, PARTS), dtype=np.float32)
+        self.bias_part = np.zeros((CLASSES, PARTS), dtype=np.float32) if first is None else first.copy()
+
+    def _arrays(self) -> list[np.ndarray]:
+        return [self.emb, self.out, self.bias, self.out_part, self.bias_part]
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([self.emb.ravel(), self.out.ravel(), self.bias])
+        return np.concatenate([a.ravel() for a in self._arrays()])
 
     def load(self, flat: np.ndarray) -> Network:
-        a, b = self.emb.size, self.emb.size + self.out.size
-        self.emb = flat[:a].reshape(self.emb.shape).astype(np.float32)
-        self.out = flat[a:b].reshape(self.out.shape).astype(np.float32)
-        self.bias = flat[b:].astype(np.float32)
+        at, parts = 0, []
+        for a in self._arrays():
+            parts.append(flat[at : at + a.size].reshape(a.shape).astype(np.float32))
+            at += a.size
+        self.emb, self.out, self.bias, self.out_part, self.bias_part = parts
         return self
 
     def hidden(self, window: np.ndarray) -> np.ndarray:
@@ -68,30 +115,41 @@ class Network:
             h = h + self.emb[k][window[k]]
         return np.tanh(h, out=h)
 
-    def log_class(self, window: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log p(class of the target | window)."""
-        z = self.hidden(window) @ self.out
-        z += self.bias
-        top = z.max(axis=1)
-        z -= top[:, None]
-        own = z[np.arange(len(target)), target]
-        return own - np.log(np.exp(z, out=z).sum(axis=1))
-
-    def step(self, window: np.ndarray, target: np.ndarray, rate: float) -> None:
-        h = self.hidden(window)
-        z = h @ self.out + self.bias
-        z = np.exp(z - z.max(axis=1, keepdims=True))
-        z /= z.sum(axis=1, keepdims=True)
-        z[np.arange(len(target)), target] -= 1
-        z /= len(target)
-        back = (z @ self.out.T) * (1 - h * h)
-        self.out -= rate * (h.T @ z)
-        self.bias -= rate * z.sum(axis=0)
+    def log_target(self, window: np.ndarray, cls: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """log p(class | window) + log p(part | class, window)."""
+        h, out = self.hidden(window), np.zeros(len(cls))
+        for z, target in ((h @ self.out + self.bias, cls), (h @ self.out_part + self.bias_part[cls], part)):
+            z -= z.max(axis=1, keepdims=True)
+            own = z[np.arange(len(cls)), target].copy()
+            out += own - np.log(np.exp(z, out=z).sum(axis=1))
+        return out
+
+    def step(self, window: np.ndarray, cls: np.ndarray, part: np.ndarray, rate: float) -> None:
+        h, n = self.hidden(window), len(cls)
+        back = np.zeros_like(h)
+        for z, weight, target in ((h @ self.out + self.bias, self.out, cls), (h @ self.out_part + self.bias_part[cls], self.out_part, part)):
+            z -= z.max(axis=1, keepdims=True)
+            np.exp(z, out=z)
+            z /= z.sum(axis=1, keepdims=True)
+            z[np.arange(n), target] -= 1
+            z /= n
+            back += z @ weight.T
+            weight -= rate * (h.T @ z)
+            if weight is self.out:
+                self.bias -= rate * z.sum(axis=0)
+            else:
+                self._scatter(self.bias_part, cls, z, rate)
+        back *= 1 - h * h
         for k in range(2 * SIDE):
-            # Sum the rows of each embedding with a bincount per dimension, which is far faster than add.at.
-            used, where = np.unique(window[k], return_inverse=True)
-            grad = np.stack([np.bincount(where, back[:, d], len(used)) for d in range(DIM)], axis=1)
-            self.emb[k][used] -= (rate * len(target) * 0.02) * grad.astype(np.float32)
+            self._scatter(self.emb[k], window[k], back, rate * n * 0.02)
+
+    @staticmethod
+    def _scatter(table: np.ndarray, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
+        """table[rows] -= rate * grad, with repeated rows summed first."""
+        order = np.argsort(rows, kind="stable")
+        there = rows[order]
+        starts = np.flatnonzero(np.append(True, there[1:] != there[:-1]))
+        table[there[starts]] -= rate * np.add.reduceat(grad[order], starts, axis=0)
 
 
 def _flat(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -104,8 +162,8 @@ def _flat(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, np.flatnonzero(x >= 0)
 
 
-def _context(x: np.ndarray) -> np.ndarray:
-    return np.where(x >= 0, x & (PAD - 1), PAD)
+def _context(x: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    return np.where(x >= 0, vocabulary.context[x], PAD)
 
 
 def _windows(context: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -128,17 +186,12 @@ def _steps(at: np.ndarray, size: int) -> Iterator[np.ndarray]:
         yield at[low : low + size]
 
 
-def class_of_tokens(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of about equal mass in order of frequency, and log p(token | class), both over all ids (add-one)."""
-    order = np.argsort(-counts, kind="stable")
-    mass = np.cumsum(counts[order] + 1.0)
-    classes = np.empty(VOCAB, dtype=np.int64)
-    classes[order] = np.minimum(((mass - (counts[order] + 1.0) / 2) / mass[-1] * CLASSES).astype(np.int64), CLASSES - 1)
-    total = np.bincount(classes, counts + 1.0, CLASSES)
-    return classes, np.log((counts + 1.0) / total[classes]).astype(np.float32)
+def tokenised(docs: DataFrame) -> DataFrame:
+    """doc_id, no_id and the ids of every row, written once."""
+    return materialise(docs.select(*id_parts(), token_ids(F.col("text")).alias("ids")), "token-ids")
 
 
-def count_tokens(docs: DataFrame) -> np.ndarray:
+def count_tokens(tokens: DataFrame) -> np.ndarray:
     """Counts of all ids over all documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,75 +202,69 @@ def count_tokens(docs: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"id": at, "n": total[at]})
 
-    rows = docs.select(token_ids(F.col("text")).alias("ids")).mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    got = tokens.select("ids").mapInPandas(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most VOCAB rows
     out = np.zeros(VOCAB)
-    for r in rows.collect():  # at most VOCAB rows
-        out[r["id"]] = r["n"]
+    out[got["id"].to_numpy(dtype=np.int64)] = got["n"]
     return out
 
 
-def train(docs: DataFrame, classes: np.ndarray, rounds: int = 1, seed: int = 1) -> Network:
+def train(tokens: DataFrame, vocabulary: Vocabulary, rounds: int = 1, seed: int = 1) -> Network:
     """The average of the networks that the partitions train, over all documents; ``rounds`` times."""
-    spark = docs.sparkSession
-    flat = Network(seed).flat()
+    spark = tokens.sparkSession
+    flat, known = Network(vocabulary.first, seed).flat(), spark.sparkContext.broadcast(vocabulary.state())
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((flat, classes.astype(np.int16)))
+        shared = spark.sparkContext.broadcast(flat)
 
         def run(batches: Iterator[pd.DataFrame], shared: object = shared) -> Iterator[pd.DataFrame]:
-            start, cls = shared.value
-            net, seen = Network(seed).load(start), 0
+            net, vocab, seen = Network().load(shared.value), Vocabulary.load(known.value), 0
             for pdf in batches:
                 for low, high in _chunks(pdf["ids"]):
                     x, at = _flat([np.asarray(a, dtype=np.int32) for a in pdf["ids"].iloc[low:high]])
-                    context = _context(x)
-                    for epoch in range(EPOCHS):
-                        # Which positions are masked depends on place and content only, so a retried task repeats itself.
-                        rng = np.random.default_rng([epoch, len(at), int(x[at[:64]].sum()) if len(at) else 0])
-                        masked = at[rng.random(len(at)) < MASKED]
-                        rng.shuffle(masked)
-                        for some in _steps(masked, 1024):
-                            net.step(_windows(context, some), cls[x[some]].astype(np.int64), RATE)
-                        seen += len(masked)
+                    context = _context(x, vocab)
+                    # The order of targets depends on place and content only, so a retried task repeats itself.
+                    rng = np.random.default_rng([seed, len(at), int(x[at[:64]].sum()) if len(at) else 0])
+                    for some in _steps(rng.permutation(at), 1024):
+                        net.step(_windows(context, some), vocab.cls[x[some]].astype(np.int64), vocab.part[x[some]].astype(np.int64), RATE)
+                    seen += len(at)
             if seen:
                 yield pd.DataFrame({"weights": [(net.flat() * np.float64(seen)).tolist()], "n": [seen]})
 
-        ids = docs.select(token_ids(F.col("text")).alias("ids"))
-        partial = ids.mapInPandas(run, "weights array<double>, n long").select("n", F.posexplode("weights").alias("at", "w"))
+        partial = tokens.select("ids").mapInPandas(run, "weights array<double>, n long").select("n", F.posexplode("weights").alias("at", "w"))
         mean = partial.groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w"))
         got = mean.toPandas()  # one row per weight
         if len(got):
             flat = got.sort_values("at")["w"].to_numpy()
-    return Network(seed).load(flat)
+    return Network().load(flat)
 
 
-def score(docs: DataFrame, network: Network, classes: np.ndarray, log_in_class: np.ndarray) -> DataFrame:
-    """doc_id, n_tokens, pll (the sum) and mean_pll of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((network.flat(), classes.astype(np.int16), log_in_class))
+def score(tokens: DataFrame, network: Network, vocabulary: Vocabulary) -> DataFrame:
+    """doc_id, n_tokens, pll (the sum) and mean_pll of every row of :func:`tokenised`."""
+    shared = tokens.sparkSession.sparkContext.broadcast((network.flat(), vocabulary.state()))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        flat, cls, inside = shared.value
-        net = Network().load(flat)
+        net, vocab = Network().load(shared.value[0]), Vocabulary.load(shared.value[1])
         for pdf in batches:
             for low, high in _chunks(pdf["ids"]):
                 part = pdf.iloc[low:high]
                 n = np.array([len(a) for a in part["ids"]], dtype=np.int64)
                 x, at = _flat([np.asarray(a, dtype=np.int32) for a in part["ids"]])
-                context, logs = _context(x), np.empty(len(at))
+                context, logs = _context(x, vocab), np.empty(len(at))
                 for low_at in range(0, len(at), 8192):
                     some = at[low_at : low_at + 8192]
-                    logs[low_at : low_at + 8192] = net.log_class(_windows(context, some), cls[x[some]].astype(np.int64)) + inside[x[some]]
+                    own = x[some]
+                    logs[low_at : low_at + 8192] = net.log_target(_windows(context, some), vocab.cls[own].astype(np.int64), vocab.part[own].astype(np.int64)) + vocab.inside[own]
                 total = np.bincount(np.repeat(np.arange(len(n)), n), logs, len(n))
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "n_tokens": n, "pll": total})
+                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "no_id": part["no_id"].to_numpy(), "n_tokens": n, "pll": total})
 
-    scored = docs.select("doc_id", token_ids(F.col("text")).alias("ids")).mapInPandas(run, "doc_id long, n_tokens long, pll double")
-    return scored.withColumn("mean_pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")))
+    scored = tokens.select("doc_id", "no_id", "ids").mapInPandas(run, "doc_id long, no_id boolean, n_tokens long, pll double")
+    return scored.select(id_whole(), "n_tokens", "pll", F.when(F.col("n_tokens") > 0, F.col("pll") / F.col("n_tokens")).alias("mean_pll"))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """Count, train and score: every step over all documents."""
-    counts = count_tokens(docs)
-    classes, inside = class_of_tokens(counts)
-    return score(docs, train(docs, classes), classes, inside)
+    tokens = tokenised(docs)
+    vocabulary = Vocabulary(count_tokens(tokens))
+    return score(tokens, train(tokens, vocabulary), vocabulary)
 
 
 def op4_query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -212,34 +212,93 @@ def test_scores_of_all_documents(docs, empty):
     assert lm.score_documents(empty).count() == 0
 
 
+def test_scores_by_brute_force(spark, monkeypatch):
+    """One token at a time, from the definition, given the same vocabulary and weights."""
+    texts = [t for t in corpus() if t and len(t) < 2000][:20] + ["one"]
+    tokens = lm.tokenised(frame(spark, texts))
+    vocab = lm.Vocabulary(lm.count_tokens(tokens))
+    net = lm.train(tokens, vocab)
+    got = {r["doc_id"]: r["pll"] for r in lm.score(tokens, net, vocab).collect()}
+    for row in tokens.collect():
+        ids, total = row["ids"], 0.0
+        for i, t in enumerate(ids):
+            h = np.zeros(lm.DIM)
+            for slot, j in enumerate((i - 2, i - 1, i + 1, i + 2)):
+                h += net.emb[slot][vocab.context[ids[j]] if 0 <= j < len(ids) else lm.PAD]
+            h = np.tanh(h)
+            for z, k in ((h @ net.out + net.bias, vocab.cls[t]), (h @ net.out_part + net.bias_part[vocab.cls[t]], vocab.part[t])):
+                total += z[k] - np.log(np.exp(z).sum())
+            total += vocab.inside[t]
+        assert got[row["doc_id"]] == pytest.approx(total, rel=1e-4)
+
+
+def test_vocabulary_is_a_distribution():
+    """Inside the counted parts the tokens' probabilities sum to one, and every frequent token has its own context."""
+    r = np.random.default_rng(15)
+    counts = np.zeros(lm.VOCAB)
+    counts[r.permutation(lm.VOCAB)[:20_000]] = (r.pareto(1.0, 20_000) * 3 + 1).astype(int)
+    v = lm.Vocabulary(counts)
+    seen = np.flatnonzero(counts)
+    cell = v.cls[seen].astype(int) * lm.PARTS + v.part[seen]
+    sums = np.bincount(cell, np.exp(v.inside[seen].astype(float)), lm.CLASSES * lm.PARTS)
+    assert np.allclose(sums[np.unique(cell)], 1, atol=1e-3) and np.allclose(np.exp(v.first).sum(axis=1)[np.unique(v.cls[seen])], 1, atol=1e-3)
+    assert len(set(v.context[np.argsort(-counts)[: lm.OWN]])) == lm.OWN and len(np.unique(v.cls[seen])) > lm.CLASSES // 2
+
+
+def test_scores_beat_word_frequencies(spark):
+    """On text with order, predicting from both sides gains on the words' frequencies, on documents it has not seen."""
+    r = np.random.default_rng(16)
+    follow = {w: VOCABULARY[(i * 7 + 3) % 300] for i, w in enumerate(VOCABULARY)}
+
+    def text():
+        out = []
+        while len(out) < 120:
+            w = VOCABULARY[int(r.integers(0, 300))]
+            out += [w, follow[w], follow[follow[w]]]
+        return " ".join(out)
+
+    seen, unseen = frame(spark, [text() for _ in range(400)]), frame(spark, [text() for _ in range(40)])
+    tokens = lm.tokenised(seen)
+    counts = lm.count_tokens(tokens)
+    vocab = lm.Vocabulary(counts)
+    rows = lm.score(lm.tokenised(unseen), lm.train(tokens, vocab, rounds=12), vocab).collect()
+    mean = sum(x["pll"] for x in rows) / sum(x["n_tokens"] for x in rows)
+    share = counts[counts > 0] / counts.sum()
+    assert mean > (share * np.log(share)).sum() + 0.5
+
+
 def test_network_learns_both_sides():
     """Classes decided by the neighbours on either side are predicted far better than by chance."""
     r = np.random.default_rng(2)
     x = np.tile(np.array([5, 900, 77, 1500], dtype=np.int32), 3000)
     x[r.random(len(x)) < 0.05] = 3000
     flat, at = lm._flat([x])
-    context, cls = lm._context(flat), np.arange(lm.VOCAB) % lm.CLASSES
+    context, cls, part = np.where(flat >= 0, flat, lm.PAD), flat % lm.CLASSES, flat // 7 % lm.PARTS
     net = lm.Network()
-    before = net.log_class(lm._windows(context, at), cls[flat[at]]).mean()
+    before = net.log_target(lm._windows(context, at), cls[at], part[at]).mean()
     for _ in range(3):
         for some in lm._steps(r.permutation(at), 1024):
-            net.step(lm._windows(context, some), cls[flat[some]], lm.RATE)
-    after = net.log_class(lm._windows(context, at), cls[flat[at]]).mean()
-    assert before < -3.5 and after > -1.0
+            net.step(lm._windows(context, some), cls[some], part[some], lm.RATE)
+    after = net.log_target(lm._windows(context, at), cls[at], part[at]).mean()
+    assert before < -7 and after > -2.0
 
 
 def test_gradient():
-    net, r = lm.Network(3), np.random.default_rng(4)
+    net, r = lm.Network(seed=3), np.random.default_rng(4)
+    net.out_part = r.normal(0, 0.1, net.out_part.shape).astype(np.float32)
     window = [r.integers(0, 50, 8) for _ in range(2 * lm.SIDE)]
-    target = r.integers(0, lm.CLASSES, 8)
-    loss = lambda: -net.log_class(window, target).mean()
-    before, bias = loss(), net.bias.copy()
-    probe = 3
-    net.bias[probe] += 1e-2
-    up = loss()
-    net.bias[:] = bias
-    net.step(window, target, 1e-3)
-    assert (bias[probe] - net.bias[probe]) / 1e-3 == pytest.approx((up - before) / 1e-2, abs=5e-2)
+    cls, part = r.integers(0, lm.CLASSES, 8), r.integers(0, lm.PARTS, 8)
+    loss = lambda: -net.log_target(window, cls, part).mean()
+    for name, at in (("bias", (3,)), ("bias_part", (int(cls[0]), 5)), ("out", (2, 7)), ("out_part", (1, int(part[0])))):
+        before, old = loss(), getattr(net, name).copy()
+        getattr(net, name)[at] += 1e-2
+        up = loss()
+        getattr(net, name)[at] = old[at]
+        saved = [a.copy() for a in net._arrays()]
+        net.step(window, cls, part, 1e-3)
+        slope = (old[at] - getattr(net, name)[at]) / 1e-3
+        net.emb, net.out, net.bias, net.out_part, net.bias_part = saved
+        assert slope == pytest.approx((up - before) / 1e-2, abs=5e-2), name
 
 
 # --- token ids
