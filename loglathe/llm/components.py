@@ -33,7 +33,7 @@ def components(edges: DataFrame, tag: str = "components", max_rounds: int = 60)
 
     def mark(e: DataFrame) -> tuple:
         h = F.xxhash64("a", "b")
-        return tuple(e.agg(F.count("*"), F.bit_xor(h), F.sum(F.shiftright(h, 24)), F.sum("b")).first())
+        return tuple(e.agg(F.count("*"), F.bit_xor(h), F.bit_xor(F.xxhash64("b", "a")), F.sum(F.shiftright(h, 40))).first())
 
     after, rounds = mark(current), 0
     before = None if after[0] else after

@@ -7,23 +7,24 @@ groups are bundled by hash into at most ``granularity`` items. The packer sorts
 into the fullest bin that still holds it, found in a balanced search tree of remaining capacities. The capacity
 is the smallest (within 1/1000 of the mean load) at which the items fit into ``n_shards`` bins.
 
-Edge cases: a null text is the empty group "null" (size 1); repeated rows are one group and get different slots;
-an empty table gives an empty result; extra columns are dropped from the assignment.
+Edge cases: a null text is the group "null" (size 1); a null doc_id stays null; repeated rows are one group and get different slots; rows that
+share a doc_id with another text are placed by their own text; an empty table gives an empty result; extra columns are dropped from the assignment and
+written by :func:`write_shards` whatever their names.
 """
 
 from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import crc32_text, text_key
+from .common import columns, crc32_text, fresh, materialise, text_key
 
 #: At most twice this many items reach the driver's packer, whatever the input's size.
-GRANULARITY = 8192
+GRANULARITY = 32_768
 
 
 class _Node:
@@ -108,21 +109,27 @@ def pack_into(sizes: list[int], n_shards: int) -> list[int]:
     return best_fit_decreasing(sizes, high)
 
 
-def assign_shards(docs: DataFrame, n_shards: int = 8, granularity: int = GRANULARITY) -> DataFrame:
-    """doc_id, size, text_crc32, shard and slot of every row of ``docs``; equal texts share a shard.
-
-    Two scans: one for group sizes (pre-aggregated before the shuffle, so a text that fills a third of the rows is
-    one row per task), one that looks each row's item up in a map of at most ``2 * granularity`` entries. Slots are
-    numbered inside (shard, slice) and shifted by the slices' counts, so no task ever holds a whole shard.
-    """
-    spark = docs.sparkSession
+def _sized(docs: DataFrame, granularity: int, *more: Column) -> DataFrame:
+    """doc_id, size, text_crc32, and the keys of a row's group and bundle."""
     rows = docs.select(
-        "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
-        crc32_text().alias("text_crc32"),
+        F.col("doc_id").alias("__id"),
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("__size"),
+        crc32_text().alias("__crc"),
         text_key().alias("__group"),
-    ).withColumn("__bundle", F.pmod(F.xxhash64("__group"), F.lit(granularity)))
-    groups = rows.groupBy("__group", "__bundle").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
+        *more,
+    )
+    return rows.withColumn("__bundle", F.pmod(F.xxhash64("__group"), F.lit(granularity)))
+
+
+def _placed(rows: DataFrame, n_shards: int, granularity: int) -> DataFrame:
+    """``rows`` of :func:`_sized` with __shard and __slot.
+
+    Group sizes are pre-aggregated before the shuffle, so a text that fills a third of the rows is one row per task; each row's
+    item is looked up in a map of at most ``2 * granularity`` entries. Slots are numbered inside (shard, slice) and shifted by the
+    slices' counts, so no task ever holds a whole shard.
+    """
+    spark = rows.sparkSession
+    groups = materialise(rows.groupBy("__group", "__bundle").agg(F.sum("__size").alias("bytes"), F.count("*").alias("n")), "groups")
     totals = groups.agg(F.sum("bytes").alias("b"), F.sum("n").alias("n")).first()
     total, n_rows = totals["b"] or 0, totals["n"] or 0
     large = F.col("bytes") * granularity >= total
@@ -133,33 +140,42 @@ def assign_shards(docs: DataFrame, n_shards: int = 8, granularity: int = GRANULA
     )
     items.sort(key=lambda r: (-r["bytes"], r["own"] or "", r["bundle"] if r["bundle"] is not None else -1))
     shard_of = pack_into([r["bytes"] for r in items], n_shards)
-    schema = T.StructType([T.StructField("__key", T.StringType()), T.StructField("shard", T.IntegerType())])
+    schema = T.StructType([T.StructField("__key", T.StringType()), T.StructField("__shard", T.IntegerType())])
     placed = spark.createDataFrame([(r["own"] or str(r["bundle"]), s) for r, s in zip(items, shard_of, strict=True)], schema)
     own = {r["own"] for r in items if r["own"] is not None}
     # Both maps are bounded by the granularity, hence the hints.
     owned = spark.createDataFrame([(g,) for g in sorted(own)], "__group string").withColumn("__own", F.lit(True))
-    placed_rows = (
+    keyed = (
         rows.join(F.broadcast(owned), "__group", "left")
         .withColumn("__key", F.when(F.col("__own"), F.col("__group")).otherwise(F.col("__bundle").cast("string")))
         .join(F.broadcast(placed), "__key")
     )
     slices = max(64, n_rows // 50_000)
-    keyed = placed_rows.select("doc_id", "size", "text_crc32", "shard", F.pmod(F.xxhash64("doc_id", "__group"), F.lit(slices)).cast("int").alias("__slice"))
-    order = Window.partitionBy("shard", "__slice").orderBy("doc_id", "text_crc32")
-    counts = keyed.groupBy("shard", "__slice").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("shard").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    return (
-        keyed.withColumn("__at", F.row_number().over(order).cast("long") - 1)
-        .join(starts, ["shard", "__slice"])
-        .select("doc_id", "size", "text_crc32", "shard", (F.col("__start") + F.col("__at")).alias("slot"))
-    )
+    keyed = keyed.withColumn("__slice", F.pmod(F.xxhash64("__id", "__group"), F.lit(slices)).cast("int"))
+    order = Window.partitionBy("__shard", "__slice").orderBy("__id", "__crc")
+    counts = keyed.groupBy("__shard", "__slice").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__shard").orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__shard", "__slice", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    numbered = keyed.withColumn("__at", F.row_number().over(order).cast("long") - 1).join(starts, ["__shard", "__slice"])
+    return numbered.withColumn("__slot", F.col("__start") + F.col("__at"))
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int = 8) -> None:
-    """Write ``docs`` under ``path``, one folder per shard, each in slot order."""
-    where = assign_shards(docs, n_shards).select("doc_id", "shard", "slot").dropDuplicates(["doc_id"])
-    docs.join(where, "doc_id").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+def assign_shards(docs: DataFrame, n_shards: int = 8, granularity: int = GRANULARITY) -> DataFrame:
+    """doc_id, size, text_crc32, shard and slot of every row of ``docs``; equal texts share a shard. The texts are read once."""
+    names = {"__id": "doc_id", "__size": "size", "__crc": "text_crc32", "__shard": "shard", "__slot": "slot"}
+    placed = _placed(materialise(_sized(docs, granularity), "sized"), n_shards, granularity)
+    return placed.select(*(F.col(c).alias(name) for c, name in names.items()))
+
+
+def write_shards(docs: DataFrame, path: str, n_shards: int = 8, granularity: int = GRANULARITY) -> None:
+    """Write every row of ``docs`` under ``path``, one folder per shard, each in slot order.
+
+    The folder's column is called ``shard``, with underscores after it where ``docs`` has such a column.
+    """
+    name = fresh(docs, "shard")
+    placed = _placed(_sized(docs, granularity, F.struct(*columns(docs)).alias("__row")), n_shards, granularity)
+    dealt = placed.select("__row", "__shard", "__slot").repartitionByRange("__shard", "__slot").sortWithinPartitions("__shard", "__slot")
+    dealt.select("__row.*", F.col("__shard").alias(name)).write.partitionBy(name).parquet(path)
 
 
 def op1_query(spark, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ local component come out, never the pairs. A pair that shares several tables cou
 row with a multiplicity.
 
 Edge cases: a null label, and a vector that is null, empty, zero or holds null or non-finite components link with nothing;
-vectors of different lengths never link; rows that repeat a vec_id are one vector (the least of their values); an empty
-table gives an empty result; extra columns are ignored.
+vectors of different lengths never link; rows that repeat a vec_id are one vector (the least of their values); a row without a vec_id links with
+nothing, has no component and is kept; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -73,12 +73,12 @@ class Codes:
         signs = np.concatenate([(unit - self.centre) @ t >= 0 for t in self.turns], axis=1)
         # Each table takes bits from all over the code, so tables are alike.
         signs = signs[:, np.random.default_rng(5).permutation(signs.shape[1])[: self.tables * self.bits]]
-        return signs.reshape(len(unit), self.tables, self.bits) @ (1 << np.arange(self.bits))
+        return signs.reshape(len(unit), self.tables, self.bits) @ (np.int64(1) << np.arange(self.bits, dtype=np.int64))
 
 
 def plan_tables(rows: int, threshold: float) -> tuple[int, int]:
     """Tables and bits per table for labels of at most ``rows`` rows."""
-    bits = int(np.clip(round(np.log2(max(rows, 2))), 6, 24))
+    bits = int(np.clip(round(np.log2(max(rows, 2))), 6, 62))
     alike = 1 - FLIP_MARGIN * np.arccos(threshold) / np.pi
     return int(np.ceil(np.log(MISS) / np.log(1 - alike**bits))), bits
 
@@ -154,7 +154,8 @@ def link_vectors(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = rows.sparkSession
     e = F.col("embedding")
     valid = F.col("label").isNotNull() & e.isNotNull() & (F.size(e) > 0) & F.forall(e, lambda v: v.isNotNull() & (F.abs(v) < float("inf")) & ~F.isnan(v)) & F.exists(e, lambda v: v != 0)
-    all_rows = rows.select("vec_id", "label", "embedding").groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v"))
+    nameless = rows.where("vec_id is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    all_rows = rows.where("vec_id is not null").select("vec_id", "label", "embedding").groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("v"))
     all_rows = materialise(all_rows.select("vec_id", F.col("v.label").alias("label"), F.col("v.embedding").alias("embedding")).withColumn("valid", F.coalesce(valid, F.lit(False))), "vectors")
     good = all_rows.where("valid").withColumn("dim", F.size("embedding"))
     copies = good.groupBy("label", "dim", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
@@ -170,9 +171,9 @@ def link_vectors(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         for pdf in batches:
             for dim, part in pdf.groupby("dim"):
                 keys = Codes.load(shared.value[dim]).keys(unit_rows(part["embedding"]))
-                yield pd.DataFrame({"rep": part["rep"], "keys": list(keys.astype(np.int32))})
+                yield pd.DataFrame({"rep": part["rep"], "keys": list(keys.astype(np.int64))})
 
-    coded = materialise(copies.select("rep", "dim", "embedding").mapInPandas(code, "rep long, keys array<int>"), "codes")
+    coded = materialise(copies.select("rep", "dim", "embedding").mapInPandas(code, "rep long, keys array<long>"), "codes")
     base = copies.join(coded, "rep").select("rep", "copies", "label", "dim", "embedding", "keys")
     entries = base.select("rep", "label", "dim", F.posexplode("keys").alias("t", "key"))
     sizes = entries.groupBy("label", "dim", "t", "key").agg(F.count("*").alias("n")).where("n > 1")
@@ -205,7 +206,7 @@ def link_vectors(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     of_rep = of_rep.select("label", "dim", "embedding", (F.coalesce("added", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     linked = good.join(of_rep, ["label", "dim", "embedding"]).select("vec_id", "n_links", "component_id")
     rest = all_rows.where(~F.col("valid")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(rest).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    return linked.unionByName(rest).select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept")).unionByName(nameless)
 
 
 def op3_query(spark: SparkSession, sf_dir: str) -> DataFrame:
