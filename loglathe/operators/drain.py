@@ -9,9 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tokens import tokenize_delimited
-from .sequential import Result, by_length, run_miner
-
-CREATED, CHANGED, UNCHANGED = "cluster_created", "cluster_template_changed", "none_update"
+from .sequential import CHANGED, CREATED, UNCHANGED, Result, by_length, run_miner
 
 
 @dataclass
@@ -148,8 +146,7 @@ def drain(
 def drain_lookup(lines: DataFrame, templates: DataFrame) -> DataFrame:
     """line_id, first_line_id of the cluster that matches each line, over all of its length.
 
-    Among several, the one with most constants wins by having fewest wildcards last: similarity is 1 for all, so the most
-    wildcards win, then the oldest.
+    Among several (similarity is 1 for all) the one with the most wildcards wins, then the oldest.
     """
     from .match import match_pairs
 

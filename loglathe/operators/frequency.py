@@ -1,9 +1,10 @@
 """The miners that are plain relational queries on word counts: SLCT, LFA, VA and LogCluster.
 
 All take lines (line_id, line) and return (template, n_lines, first_line_id), distinct templates in ``first_line_id``
-order. Counts are partial aggregates, so a word in a third of all lines is a few rows per task; counts join back on the
-exploded tokens (broadcast by Catalyst when the frequent words are few, an ordinary join that adaptive execution can
-split otherwise), and the regrouping by line is combined on the map side.
+order. Counts are partial aggregates, so a word in a third of all lines is a few rows per task. Where the words that stay are at most
+``IN_PLACE``, which a count of them decides, each line's tokens are looked up in place, and nothing but counts and templates is shuffled. Beyond
+that, and where every word's count is needed, counts join back on the exploded tokens (an ordinary join that adaptive
+execution can split), and the regrouping by line is combined on the map side. Both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions.tokens import first_seen, tokenized
 
+#: Words that stay are made part of the plan, as a hash set, up to so many.
+IN_PLACE = 20_000
+
 
 def exploded(tokens: DataFrame) -> DataFrame:
     return tokens.select("line_id", F.posexplode("tokens").alias("pos", "word"))
@@ -37,6 +41,13 @@ def _regrouped(rows: DataFrame, tokens: DataFrame, *cols: Column) -> DataFrame:
 
 def _masked(tokens: DataFrame, kept: DataFrame, on: list[str]) -> DataFrame:
     """line_id, template: each token that ``kept`` has, else null."""
+    few = kept.select(*on).limit(IN_PLACE + 1).collect()
+    if len(few) <= IN_PLACE:
+        placed = on != ["word"]
+        known = [f"{r['pos']} {r['word']}" if placed else r["word"] for r in few]
+        name = (lambda w, i: F.concat_ws(" ", i.cast("string"), w)) if placed else (lambda w, i: w)
+        cell = (lambda w, i: F.when(name(w, i).isin(known), w)) if known else (lambda w, i: F.lit(None).cast("string"))
+        return tokens.select("line_id", F.transform("tokens", lambda w, i: cell(w, i)).alias("template"))
     rows = exploded(tokens).join(kept.select(*on, F.lit(True).alias("keep")), on, "left")
     return _regrouped(rows, tokens, F.coalesce("keep", F.lit(False)).alias("keep")).select(
         "line_id", F.transform("x", lambda e: F.when(e["keep"], e["word"])).alias("template")

@@ -1,14 +1,14 @@
 """LKE: distances of all pairs of distinct lines, a threshold by two-means, components, splits by gap contents.
 
 The distances are quadratic by definition. Lines are dealt into blocks and each task compares one pair of blocks, so no task
-holds more than two blocks and only links and the counts of distances leave it.
+holds more than two blocks. They are compared twice: first the distinct distances leave a task, then the pairs under the threshold.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,8 +23,8 @@ from .sequential import TEMPLATES, distinct_templates
 BLOCK = 256
 
 
-def pair_distances(lines: DataFrame) -> DataFrame:
-    """a, b, dist of all pairs a < b of the distinct lines, by the weighted edit script of the earlier against the later."""
+def _compared(lines: DataFrame, keep: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
+    """What ``keep`` leaves of (a, b, dist) of the pairs a < b of each pair of blocks of the distinct lines."""
     rows = lines.groupBy("line").agg(F.min("line_id").alias("line_id"))
     n = rows.count()
     blocks = -(-n // BLOCK)
@@ -38,11 +38,21 @@ def pair_distances(lines: DataFrame) -> DataFrame:
         out = []
         for i, (a, x, s) in enumerate(rows):
             out += ((a, b, late_edit_distance(s, t)) for b, y, t in rows[i + 1 :] if not cross or x != y)
-        return pd.DataFrame(out, columns=["a", "b", "dist"])
+        return keep(pd.DataFrame(out, columns=["a", "b", "dist"]))
 
     return work.groupBy("g", "h").applyInPandas(compare, "a long, b long, dist double")
 
 
+def pair_distances(lines: DataFrame, below: float = math.inf) -> DataFrame:
+    """a, b, dist of the pairs a < b of the distinct lines that are nearer than ``below``, by the weighted edit script of the earlier against the later."""
+    return _compared(lines, lambda pairs: pairs[pairs["dist"] < below])
+
+
+def distances(lines: DataFrame) -> DataFrame:
+    """The distinct distances (dist) of all pairs; each pair of blocks gives its own ones once."""
+    return _compared(lines, lambda pairs: pairs.drop_duplicates("dist")).select("dist").distinct()
+
+
 def two_means_edge(values: DataFrame) -> float:
     """The largest value of the lower cluster of the exact one-dimensional 2-means split of the distinct values.
 
@@ -103,9 +113,8 @@ def split_group(group: list[list[str]], threshold: float) -> Iterator[list[list[
 def lke(lines: DataFrame, split_threshold: float, cc_threshold_ratio: float = 1.0) -> DataFrame:
     """Distinct templates; common words of a final group stay, each other token is a wildcard."""
     distinct = lines.groupBy("line").agg(F.min("line_id").alias("line_id"), F.count("*").alias("n_lines"))
-    pairs = pair_distances(lines).persist()
-    near = two_means_edge(pairs) * cc_threshold_ratio
-    linked = components(pairs.where(F.col("dist") < near).select("a", "b"))
+    near = two_means_edge(distances(lines)) * cc_threshold_ratio
+    linked = components(pair_distances(lines, near).select("a", "b"))
     rows = tokenized(distinct).join(distinct.select("line_id", "n_lines"), "line_id").join(linked, F.col("line_id") == F.col("id"), "left")
     rows = rows.select("line_id", "tokens", "n_lines", F.coalesce("component", "line_id").alias("component"))
 

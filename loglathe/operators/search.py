@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 from collections import Counter
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,10 +17,10 @@ from .sequential import Result, run_miner
 
 class LogSig:
     """Groups lines by their ordered word pairs: a line moves to the group where the potential gains most, until a pass moves
-    none or ``max_pass`` passes are done; each group's template is its most common line, rare words dropped.
+    none or ``max_pass`` passes are done (None: as many as it takes); each group's template is its most common line, rare words dropped.
     """
 
-    def __init__(self, groups: int, seed: int, max_pass: int) -> None:
+    def __init__(self, groups: int, seed: int, max_pass: int | None) -> None:
         self.groups, self.seed, self.max_pass = groups, seed, max_pass
         self.lines: list[tuple[int, list[str]]] = []
 
@@ -33,7 +34,7 @@ class LogSig:
         size, seen = Counter(group), [Counter() for _ in range(self.groups)]
         for g, p in zip(group, pairs, strict=True):
             seen[g].update(p)
-        for _ in range(self.max_pass):
+        for _ in count() if self.max_pass is None else range(self.max_pass):
             moved = False
             for i, p in enumerate(pairs):
                 at = group[i]
@@ -68,7 +69,7 @@ class LogSig:
         return out
 
 
-def logsig(lines: DataFrame, grp_num: int = 30, seed: int = 0, max_pass: int = 100) -> DataFrame:
+def logsig(lines: DataFrame, grp_num: int = 30, seed: int = 0, max_pass: int | None = None) -> DataFrame:
     """At most ``grp_num`` templates."""
     return run_miner(lines, lambda: LogSig(grp_num, seed, max_pass))
 

@@ -19,6 +19,9 @@ from ..functions.tokens import tokenized
 
 TEMPLATES = "template array<string>, n_lines long, first_line_id long"
 Result = tuple[list, int, int]
+#: What a line did: the line that founded its cluster, the cluster's template now, and one of the three below.
+Change = tuple[int, list, str]
+CREATED, CHANGED, UNCHANGED = "cluster_created", "cluster_template_changed", "none_update"
 
 
 class Miner(Protocol):

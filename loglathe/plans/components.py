@@ -27,5 +27,5 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         same = new.join(old, "id").where("component != old").isEmpty()
         labels = new
         if same:
-            break
-    return labels
+            return labels
+    raise RuntimeError(f"components are not settled after {max_rounds} rounds")

@@ -7,13 +7,13 @@ _SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]+"
 _EVENTS = "lines AS (SELECT event_id AS line_id, 'user ' || user_id || ' ' || event_type || ' props ' || props AS line FROM events)"
 _DOCUMENTS = (
     "parts AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents),"
-    " lines AS (SELECT doc_id * 1000000 + i - 1 AS line_id, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM parts))"
+    " lines AS (SELECT doc_id * (SELECT max(len(l)) FROM parts) + i - 1 AS line_id, l[i] AS line FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM parts))"
 )
 _SUPPLIERS = (
     "lines AS (SELECT s_suppkey AS line_id, 'supplier ' || s_name || ' of ' || n_name || ' account ' || CASE WHEN s_acctbal < 0 THEN 'debit' ELSE 'credit' END AS line"
     " FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
 )
-_TURNS = "lines AS (SELECT conv_id * 1000 + turn AS line_id, replace(text, chr(10), ' ') AS line FROM conversations)"
+_TURNS = "lines AS (SELECT conv_id * (SELECT max(turn) + 1 FROM conversations) + turn AS line_id, replace(text, chr(10), ' ') AS line FROM conversations)"
 _TOKENS = (
     f"tok AS (SELECT line_id, list_filter(regexp_split_to_array(line, '{_SPACE}'), lambda x: x <> '') AS tokens FROM lines),"
     " ex AS (SELECT line_id, unnest(tokens) AS word, CAST(unnest(range(len(tokens))) AS INTEGER) AS pos FROM tok)"
@@ -132,6 +132,85 @@ _CHARS = (
     "units AS (SELECT line_id, unnest(string_split(line, '')) AS word FROM lines)",
 )
 
+_ORDERED = "ord AS (SELECT row_number() OVER (ORDER BY line_id) AS k, line_id, tokens AS t, len(tokens) AS n FROM tok)"
+
+
+def _recursive(source: str, *more: str) -> str:
+    return "WITH RECURSIVE " + ", ".join((source, _TOKENS, _ORDERED, *more)) + " "
+
+
+def _online(fields: str, about: str, found: str, started: str, changed: str) -> str:
+    """One line after the other: ``v.cl`` are the clusters so far, ``best`` the number of the one that takes the line ``v.t``."""
+    none = f"CAST([] AS STRUCT({fields})[])"
+    line = "'id': {0}.id, 't': {0}.t, 'n': {0}.n"
+    step = f"CASE WHEN best IS NULL THEN list_append(v.cl, {started}) ELSE list_transform(range(1, len(v.cl) + 1), lambda i: CASE WHEN i = best THEN {changed} ELSE v.cl[i] END) END"
+    return (
+        f"r AS (SELECT list_reduce(list({{'id': line_id, 't': t, 'n': n, 'cl': {none}}} ORDER BY k), lambda a, x:"
+        f" list_transform([{{'cl': a.cl, {line.format('x')}, {about}}}], lambda v: list_transform([{found}], lambda best: {{{line.format('v')}, 'cl': {step}}})[1])[1],"
+        f" {{'id': CAST(0 AS BIGINT), 't': CAST([] AS VARCHAR[]), 'n': CAST(0 AS BIGINT), 'cl': {none}}}).cl AS cl FROM ord),"
+        " clusters AS (SELECT unnest(cl, recursive := true) FROM r)"
+    )
+
+
+_CLUSTERS = (
+    "SELECT array_to_string(list_transform(tpl, lambda x: coalesce(x, '<*>')), ' ') AS template, CAST(len(tpl) AS INTEGER) AS n_tokens, hits AS n_lines, founder AS first_line_id FROM clusters"
+)
+_MERGED = "list_transform(range(1, v.n + 1), lambda j: CASE WHEN v.cl[i].tpl[j] = v.t[j] THEN v.t[j] END)"
+_EQUAL = "len(list_filter(range(1, v.n + 1), lambda j: v.cl[i].tpl[j] = v.t[j]))"
+_SAME_LENGTH = "list_filter(range(1, len(v.cl) + 1), lambda i: len(v.cl[i].tpl) = v.n)"
+#: Depth 4: the first token (of two or more) leads to a leaf; at most 100 children, one of them the wildcard.
+def _drain(source: str, need: float) -> str:
+    kids = "list_distinct(list_transform(list_filter(a.cl, lambda c: len(c.tpl) = x.n), lambda c: c.leaf))"
+    scores = f"{{'s': CASE WHEN v.n = 0 THEN 1.0 ELSE {_EQUAL} / v.n END, 'g': len(list_filter(v.cl[i].tpl, lambda y: y IS NULL)), 'i': -i}}"
+    here = f"list_filter({_SAME_LENGTH}, lambda i: v.cl[i].leaf = CASE WHEN list_contains(v.kids, v.head) THEN v.head ELSE '<*>' END)"
+    return _recursive(
+        source,
+        _online(
+            "leaf VARCHAR, tpl VARCHAR[], hits BIGINT, founder BIGINT",
+            f"'head': CASE WHEN x.n > 1 THEN x.t[1] ELSE '' END, 'kids': {kids}",
+            f"-(list_reverse_sort(list_filter(list_transform({here}, lambda i: {scores}), lambda c: c.s >= {need}))[1]).i",
+            "{'leaf': CASE WHEN list_contains(v.kids, v.head) OR len(v.kids) < CASE WHEN list_contains(v.kids, '<*>') THEN 100 ELSE 99 END THEN v.head ELSE '<*>' END,"
+            " 'tpl': v.t, 'hits': CAST(1 AS BIGINT), 'founder': v.id}",
+            f"{{'leaf': v.cl[i].leaf, 'tpl': {_MERGED}, 'hits': v.cl[i].hits + 1, 'founder': v.cl[i].founder}}",
+        ),
+    )
+
+
+_DOT = "list_sum(list_transform(range(1, v.n + 1), lambda j: {0}[j] * {1}[j]))"
+
+
+def _lenma(source: str) -> str:
+    cosine = f"{_DOT.format('v.own', 'v.cl[i].lens')} / (sqrt({_DOT.format('v.own', 'v.own')}) * sqrt({_DOT.format('v.cl[i].lens', 'v.cl[i].lens')}))"
+    scores = f"{{'s': CASE WHEN len(list_filter(range(1, v.n + 1), lambda j: v.cl[i].tpl[j] <> v.t[j])) = 0 THEN 1.0 ELSE {cosine} END, 'i': -i}}"
+    return _recursive(
+        source,
+        _online(
+            "tpl VARCHAR[], lens BIGINT[], hits BIGINT, founder BIGINT",
+            "'own': list_transform(x.t, lambda y: len(y))",
+            f"-(list_reverse_sort(list_filter(list_transform({_SAME_LENGTH}, lambda i: {scores}), lambda c: c.s >= 0.99))[1]).i",
+            "{'tpl': v.t, 'lens': v.own, 'hits': CAST(1 AS BIGINT), 'founder': v.id}",
+            f"{{'tpl': {_MERGED}, 'lens': v.own, 'hits': v.cl[i].hits + 1, 'founder': v.cl[i].founder}}",
+        ),
+    )
+
+
+#: A leader at a time, per token count, over the lines that are still free; at most ``share`` of the positions differ, from three lines on.
+def _ael(source: str, share: float) -> str:
+    return (
+        _recursive(
+            source,
+            "r AS (SELECT n, count(*) AS m, list({'id': line_id, 't': t} ORDER BY line_id) AS free, CAST(NULL AS STRUCT(id BIGINT, t VARCHAR[])) AS head,"
+            " CAST([] AS STRUCT(id BIGINT, t VARCHAR[])[]) AS grp FROM ord GROUP BY n UNION ALL"
+            " SELECT n, m, list_filter(rest, lambda x: NOT list_contains(list_transform(taken, lambda y: y.id), x.id)), lead, taken FROM (SELECT *, CASE WHEN m < 3 THEN [] ELSE"
+            f" list_filter(rest, lambda x: x.t <> lead.t AND len(list_filter(range(1, n + 1), lambda j: x.t[j] <> lead.t[j])) / n <= {share}) END AS taken"
+            " FROM (SELECT n, m, free[1] AS lead, free[2:] AS rest FROM r WHERE len(free) > 0)))",
+            "g AS (SELECT head.id AS id, 1 + len(grp) AS size, list_transform(range(1, n + 1), lambda j: CASE WHEN len(list_filter(grp, lambda x: x.t[j] <> head.t[j])) = 0 THEN head.t[j] ELSE '<*>' END) AS tpl"
+            " FROM r WHERE head IS NOT NULL)",
+        )
+        + "SELECT array_to_string(tpl, ' ') AS template, CAST(len(tpl) AS INTEGER) AS n_tokens, CAST(sum(size) AS BIGINT) AS n_lines, min(id) AS first_line_id FROM g GROUP BY tpl"
+    )
+
+
 ORACLE_SQL: dict[str, str] = {
     "slct": _slct(_EVENTS, 150, 20),
     "slct_documents": _slct(_DOCUMENTS, 3, 1),
@@ -231,4 +310,17 @@ ORACLE_SQL: dict[str, str] = {
     "char_class_vectors": _with(_SUPPLIERS)
     + "SELECT word, CAST(len(regexp_replace(word, '[^A-Z]', '', 'g')) AS INTEGER) AS upper, CAST(len(regexp_replace(word, '[^a-z]', '', 'g')) AS INTEGER) AS lower,"
     " CAST(len(regexp_replace(word, '[^0-9]', '', 'g')) AS INTEGER) AS digit, CAST(len(regexp_replace(word, '[A-Za-z0-9]', '', 'g')) AS INTEGER) AS other FROM (SELECT DISTINCT word FROM ex)",
+    "ael": _ael(_EVENTS, 0.5),
+    "ael_suppliers": _ael(_SUPPLIERS, 0.4),
+    "drain": _drain(_EVENTS, 0.4) + _CLUSTERS,
+    "drain_strict": _drain(_EVENTS, 0.6) + _CLUSTERS,
+    "drain_suppliers": _drain(_SUPPLIERS, 0.7) + _CLUSTERS,
+    "drain_stream": _drain(_EVENTS, 0.4) + _CLUSTERS,
+    "drain_match": _drain(_EVENTS, 0.4)
+    + "SELECT founder AS first_line_id, count(*) AS n_lines FROM (SELECT line_id, founder FROM tok JOIN clusters"
+    " ON len(tokens) = len(tpl) AND len(list_filter(range(1, len(tpl) + 1), lambda j: tpl[j] <> tokens[j])) = 0"
+    " QUALIFY row_number() OVER (PARTITION BY line_id ORDER BY len(list_filter(tpl, lambda x: x IS NULL)) DESC, founder) = 1) GROUP BY founder",
+    "lenma": _lenma(_EVENTS) + _CLUSTERS,
+    "lenma_suppliers": _lenma(_SUPPLIERS) + _CLUSTERS,
+    "lenma_stream": _lenma(_EVENTS) + _CLUSTERS,
 }

@@ -166,7 +166,7 @@ def _stream(make: Callable[[DataFrame], DataFrame]) -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         path = f"{d}/events.parque[t]"  # a pattern: a stream source takes no single file
         schema = src.read_table(spark, d, "events").schema
-        e = spark.readStream.schema(schema).parquet(path)
+        e = spark.readStream.schema(schema).option("maxFilesPerTrigger", 16).parquet(path)
         line = F.concat_ws(" ", F.lit("user"), F.col("user_id").cast("string"), "event_type", F.lit("props"), "props")
         shared = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
         events = make(e.select(F.col("event_id").alias("line_id"), line.alias("line")))
@@ -211,10 +211,14 @@ QUERIES: dict[str, Query] = {
     "char_class_vectors": char_class_vectors,
     "ael": _mined(bucketed.ael),
     "dlog": _mined(bucketed.dlog),
+    "ael_suppliers": _mined(bucketed.ael, src.supplier_lines, merge_pct=0.4),
     "drain": _mined(drain.drain),
+    "drain_strict": _mined(drain.drain, sim_th=0.6),
+    "drain_suppliers": _mined(drain.drain, src.supplier_lines, sim_th=0.7),
     "drain_match": drain_match,
     "fttree": _mined(bucketed.fttree),
     "lenma": _mined(bucketed.lenma, threshold=0.99),
+    "lenma_suppliers": _mined(bucketed.lenma, src.supplier_lines, threshold=0.99),
     "spell": _mined(ordered.spell),
     "shiso": _mined(ordered.shiso, threshold=0.8, max_child=4),
     "logmine": _mined(ordered.logmine, max_dist=0.4, level=2),
@@ -223,6 +227,7 @@ QUERIES: dict[str, Query] = {
     "molfi": _mined(search.molfi, src.nation_lines),
     "nulog": _mined(neural.nulog, src.supplier_lines, k=8, nr_epochs=8),
     "drain_stream": _stream(online.drain_stream),
+    "fttree_stream": _stream(online.fttree_stream),
     "lenma_stream": _stream(lambda lines: online.lenma_stream(lines, 0.99)),
     "spell_stream": _stream(online.spell_stream),
     "shiso_stream": _stream(lambda lines: online.shiso_stream(lines, 0.8, 4)),

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+#: Blocks of text files (about 100 bytes each) are broadcast up to so many.
+BLOCKS = 1_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +21,21 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("line_id"), line.alias("line"))
 
 
+def placed_id(rows: DataFrame, major: str, minor: str | Column) -> Column:
+    """One number per (major, minor), in their order: ``major`` times one more than the largest ``minor``.
+
+    The table decides the factor, so no two places share a number; numbers beyond 64 bits are an error, not a wrap.
+    """
+    minor = F.col(minor) if isinstance(minor, str) else minor
+    width = (rows.agg(F.max(minor).alias("w")).first()["w"] or 0) + 1
+    return F.col(major) * F.lit(width).cast("long")
+
+
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of all documents; ids order by document, then place."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return d.select((F.col("doc_id") * 1_000_000 + F.col("pos")).alias("line_id"), "line")
+    docs = read_table(spark, sf_dir, "documents")
+    first = placed_id(docs, "doc_id", F.size(F.split("text", "\n")) - 1)
+    return docs.select(first.alias("first"), F.posexplode(F.split("text", "\n")).alias("pos", "line")).select((F.col("first") + F.col("pos")).alias("line_id"), "line")
 
 
 def supplier_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,18 +56,21 @@ def nation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line per turn."""
     c = read_table(spark, sf_dir, "conversations")
-    return c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_id"), F.regexp_replace("text", "\n", " ").alias("line"))
+    return c.select((placed_id(c, "conv_id", "turn") + F.col("turn")).alias("line_id"), F.regexp_replace("text", "\n", " ").alias("line"))
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of a text file in file order.
+    """The lines of text files (a file, folder or pattern), files in the order of their paths, lines in file order.
 
-    Spark's rows have no order, so the line number comes from a file's own row order: read as one split per file, with
-    the number of the row inside it (``zipWithIndex`` keeps the order of splits and of rows inside them).
+    A row of a scan knows its file and the block it was read from; inside a block, rows keep their order, so numbers that
+    rise inside a task order them. Blocks are counted, and a line's number is the lines of earlier blocks and its place in its own.
     """
     raw = spark.read.text(path, lineSep="\n")
-    numbered = raw.rdd.zipWithIndex().map(lambda r: (r[1], r[0][0]))
-    return spark.createDataFrame(numbered, "line_id long, line string")
+    at = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), F.col("value").alias("line"))
+    blocks = at.groupBy("file", "block").agg(F.count("*").alias("lines"), F.min("n").alias("low"))
+    before = Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block of the files
+    starts = blocks.select("file", "block", "low", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("before"))
+    return at.join(F.broadcast(starts) if starts.count() <= BLOCKS else starts, ["file", "block"]).select((F.col("before") + F.col("n") - F.col("low")).alias("line_id"), "line")
 
 
 def distinct_lines(lines: DataFrame, limit: int | None = None) -> DataFrame:

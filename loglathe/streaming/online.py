@@ -15,28 +15,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.tokens import tokenize
-from ..operators.bucketed import Lenma
+from ..operators.bucketed import Lenma, OnlineFtTree
 from ..operators.drain import Drain
 from ..operators.ordered import Shiso, Spell, letter_counts
 
 EVENTS = "line_id long, founder long, template array<string>, update_type string"
 
 
-def _ingest(miner: object, line_id: int, tokens: list[str]) -> tuple[int | None, list | None, str]:
-    """(founding line, template, what happened). Miners without an ``ingest`` tell what changed by comparison."""
-    if isinstance(miner, Drain):
-        cluster, update = miner.ingest(line_id, tokens)
-        return cluster.first_line, list(cluster.template), update
-    before = {f: (list(t), n) for t, n, f in miner.templates()}
-    miner.add(line_id, tokens)
-    for t, n, f in miner.templates():
-        if f not in before:
-            return f, list(t), "cluster_created"
-        if before[f][0] != list(t):
-            return f, list(t), "cluster_template_changed"
-        if before[f][1] != n:
-            return f, list(t), "none_update"
-    return None, None, "none_update"
+def _ingest(miner: object, line_id: int, tokens: list[str]) -> tuple[int, list, str]:
+    """(founding line, template, what happened)."""
+    found, *rest = miner.ingest(line_id, tokens)
+    return (found.first_line, list(found.template), rest[0]) if isinstance(miner, Drain) else (found, *rest)
 
 
 def mine_stream(lines: DataFrame, make: Callable[[], object], key: Column) -> DataFrame:
@@ -45,10 +34,10 @@ def mine_stream(lines: DataFrame, make: Callable[[], object], key: Column) -> Da
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         miner = cloudpickle.loads(state.get[0]) if state.exists else make()
-        pdf = pd.concat(list(batches)).sort_values("line_id")
+        pdf = pd.concat(list(batches)).sort_values("line_id")  # a micro-batch: the source's maxFilesPerTrigger bounds it
         out = [(int(i), *_ingest(miner, int(i), list(t))) for i, t in zip(pdf["line_id"], pdf["tokens"], strict=True)]
         state.update((cloudpickle.dumps(miner),))
-        yield pd.DataFrame(out, columns=["line_id", "founder", "template", "update_type"]).astype({"founder": "Int64"})
+        yield pd.DataFrame(out, columns=["line_id", "founder", "template", "update_type"])
 
     return rows.groupBy("key").applyInPandasWithState(step, EVENTS, "miner binary", "append", GroupStateTimeout.NoTimeout)
 
@@ -73,9 +62,14 @@ def shiso_stream(lines: DataFrame, threshold: float, max_child: int) -> DataFram
     return mine_stream(lines, lambda: Shiso(threshold, max_child, letter_counts), F.lit(""))
 
 
+def fttree_stream(lines: DataFrame, max_child: int = 6, cut_depth: int = 3, message_type: object = "none", count_unit: str = "char") -> DataFrame:
+    """One key: FTTree's running counts cross all message types."""
+    return mine_stream(lines, lambda: OnlineFtTree(max_child, cut_depth, message_type, count_unit), F.lit(""))
+
+
 def final_templates(events: DataFrame) -> DataFrame:
     """template, n_lines, first_line_id from a stream's collected output: each cluster's last template."""
-    last = events.where("founder is not null").groupBy("founder")
+    last = events.groupBy("founder")
     return last.agg(F.max_by("template", "line_id").alias("template"), F.count("*").alias("n_lines")).select("template", "n_lines", F.col("founder").alias("first_line_id"))
 
 

@@ -136,3 +136,62 @@ def test_parse_list():
 def test_tokenize_is_python_split(spark, text):
     row = spark.createDataFrame([(text,)], "line string").select(tokenize("line").alias("t")).first()
     assert row["t"] == text.split()
+
+
+def test_parse_goes_on(spark):
+    for name, params in (("drain", {}), ("lfa", {}), ("dlog", {}), ("fttree", {}), ("shiso", {"threshold": 0.5, "max_child": 4})):
+        p, whole = parser(name, **params), parser(name, **params)
+        p.parse(["a b c", "a b d"])
+        assert p.parse(["a b q", "x y z"]) == whole.parse(["a b c", "a b d", "a b q", "x y z"]), name
+        p.reset()
+        assert p.parse(["k l"]) == parser(name, **params).parse(["k l"])
+    p = parser("lenma", threshold=0.9)
+    p.parse(["ab cd"])
+    assert p.parse(["x"]) == [("x",)]
+
+
+def test_fttree_with_a_function(lines):
+    """A function that does what a named message type does gives its templates, online too."""
+    from loglathe.operators.bucketed import OnlineFtTree
+
+    texts = [f"{'get' if i % 3 else 'put'} i {i % 4} x{i % 6}" for i in range(60)]
+    for name, kind in (("top", lambda p: (p[0], p[1:])), ("length", lambda p: (len(p), p)), ("none", lambda p: (None, p))):
+        want = sorted(map(str, bucketed.fttree(lines(*texts), 3, 1, name).collect()))
+        assert sorted(map(str, bucketed.fttree(lines(*texts), 3, 1, kind).collect())) == want
+        online = OnlineFtTree(3, 1, kind)
+        for i, t in enumerate(texts):
+            online.ingest(i, t.split())
+        assert {tuple(t) for t, _, _ in online.templates()} == {tuple(r["template"]) for r in bucketed.fttree(lines(*texts), 3, 1, name).collect()}
+    with pytest.raises(ValueError):
+        bucketed.fttree(lines("a"), message_type="other")
+
+
+def test_dlog_deep_lines(lines):
+    one, two = " ".join(f"w{i}" for i in range(120)), " ".join("z" if i == 60 else f"w{i}" for i in range(120))
+    got = mined(bucketed.dlog(lines(one, two)))
+    assert len(got) == 1 and len(got[0]) == 120 and got[0][60] is None
+
+
+def test_masked_in_place_and_by_join(lines, monkeypatch):
+    texts = [f"a {i % 7} b{i % 3} c d {i}" for i in range(90)] + [""]
+    ways = [lambda d: frequency.slct(d, 10, 1), lambda d: frequency.va(d, "static", 20), lambda d: frequency.va(d, "relative-line", 0.1), lambda d: frequency.logcluster(d, 30)]
+    few = [sorted(map(str, w(lines(*texts)).collect())) for w in ways]
+    monkeypatch.setattr(frequency, "IN_PLACE", 0)
+    assert [sorted(map(str, w(lines(*texts)).collect())) for w in ways] == few
+
+
+def test_ingest_tells_what_changed():
+    from loglathe.operators.bucketed import Lenma
+    from loglathe.operators.ordered import Shiso, Spell, letter_counts
+
+    for miner, texts, want in (
+        (Lenma(0.9), ["ab cd", "ab cd", "ab xy"], ["cluster_created", "none_update", "cluster_template_changed"]),
+        (Spell(0.5), ["a b c d", "a b c d", "a b x y"], ["cluster_created", "none_update", "cluster_template_changed"]),
+        (Shiso(0.5, 2, letter_counts), ["ab x", "ab x", "ab y"], ["cluster_created", "none_update", "cluster_template_changed"]),
+    ):
+        assert [miner.ingest(i, t.split())[2] for i, t in enumerate(texts)] == want
+
+
+def test_logsig_runs_until_it_is_stable(lines):
+    texts = [f"a {i % 3} b {i % 2}" for i in range(24)]
+    assert mined(search.logsig(lines(*texts), 3)) == mined(search.logsig(lines(*texts), 3, max_pass=1000))
