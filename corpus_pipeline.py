@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loglathe.llm.common import materialise, table
+from loglathe.llm.common import discard, materialise, table, written
 from loglathe.llm.decontaminate import drop_leaks
 from loglathe.llm.langid import keep_identified
 from loglathe.llm.lines import dedup_stage
@@ -28,8 +28,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order over ``documents``."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages in order over ``documents``. A stage's scratch tables and its predecessor's result go when its own result is written."""
+    docs, before = table(spark, sf_dir, "documents"), set(written())
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(spark, [path for path in written()[:-1] if path not in before])
     return docs
