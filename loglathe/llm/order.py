@@ -31,8 +31,8 @@ from .common import _hadoop, clean_shuffles, discard, id_parts, id_whole, materi
 from .tokens import Encoder, id_type
 
 LENGTH = 1024
-#: 33 MB of 16-bit ids.
-PER_SHARD = 16_384
+#: 8 MB of 16-bit ids; a shard is one row when it is read back. Larger ones suit larger corpora and executors.
+PER_SHARD = 4096
 END = 50256
 ROUNDS = 6
 #: Files of a wave at most, and waves at least.
