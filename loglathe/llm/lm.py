@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import id_parts, id_whole, materialise
 
-VOCAB_BITS = 22
+VOCAB_BITS = 20
 CLASSES = 64
-PARTS = 64
+PARTS = 32
 SIDE = 2
 DIM = 16
 RATE = 1.0
@@ -66,7 +66,7 @@ class Vocabulary:
             starts = np.searchsorted(self.cls[top], np.arange(CLASSES))
             self.part[top] = (np.arange(seen) - starts[self.cls[top]]) % PARTS
             self.context[top[:OWN]] = np.arange(min(seen, OWN))
-        cell = self.cls.astype(np.int64) * PARTS + self.part
+        cell = self.cls.astype(np.int32) * PARTS + self.part
         total = np.bincount(cell[top], counts[top], CLASSES * PARTS) if seen else np.zeros(CLASSES * PARTS)
         self.inside = np.log(weight / np.maximum(total[cell], 0.5)).astype(np.float32)
         by_class = total.reshape(CLASSES, PARTS)
