@@ -41,6 +41,7 @@ VOCAB = 1 << VOCAB_BITS
 PAD = OWN + SHARED
 #: The logit of a part that no token is in.
 _NONE = -30.0
+_TINY = np.float32(1e-30)
 
 
 def token_ids(text: Column) -> Column:
@@ -119,20 +120,19 @@ class Network:
         """log p(class | window) + log p(part | class, window)."""
         h, out = self.hidden(window), np.zeros(len(cls))
         for z, target in ((h @ self.out + self.bias, cls), (h @ self.out_part + self.bias_part[cls], part)):
-            z -= z.max(axis=1, keepdims=True)
+            z -= z.max()  # of all rows: logits are of one size, and a maximum by row costs as much as the exponentials
             own = z[np.arange(len(cls)), target].copy()
-            out += own - np.log(np.exp(z, out=z).sum(axis=1))
+            out += own - np.log(np.maximum(np.exp(z, out=z) @ np.ones(z.shape[1], dtype=z.dtype), _TINY))
         return out
 
     def step(self, window: np.ndarray, cls: np.ndarray, part: np.ndarray, rate: float) -> None:
         h, n = self.hidden(window), len(cls)
         back = np.zeros_like(h)
         for z, weight, target in ((h @ self.out + self.bias, self.out, cls), (h @ self.out_part + self.bias_part[cls], self.out_part, part)):
-            z -= z.max(axis=1, keepdims=True)
+            z -= z.max()
             np.exp(z, out=z)
-            z /= z.sum(axis=1, keepdims=True)
-            z[np.arange(n), target] -= 1
-            z /= n
+            z *= (1 / (n * np.maximum(z @ np.ones(z.shape[1], dtype=z.dtype), _TINY)))[:, None]
+            z[np.arange(n), target] -= np.float32(1 / n)
             back += z @ weight.T
             weight -= rate * (h.T @ z)
             if weight is self.out:
@@ -224,7 +224,7 @@ def train(tokens: DataFrame, vocabulary: Vocabulary, rounds: int = 1, seed: int
                     # The order of targets depends on place and content only, so a retried task repeats itself.
                     rng = np.random.default_rng([seed, len(at), int(x[at[:64]].sum()) if len(at) else 0])
                     for some in _steps(rng.permutation(at), 1024):
-                        net.step(_windows(context, some), vocab.cls[x[some]].astype(np.int64), vocab.part[x[some]].astype(np.int64), RATE)
+                        net.step(_windows(context, some), vocab.cls[x[some]], vocab.part[x[some]], RATE)
                     seen += len(at)
             if seen:
                 yield pd.DataFrame({"weights": [(net.flat() * np.float64(seen)).tolist()], "n": [seen]})
@@ -252,7 +252,7 @@ def score(tokens: DataFrame, network: Network, vocabulary: Vocabulary) -> DataFr
                 for low_at in range(0, len(at), 8192):
                     some = at[low_at : low_at + 8192]
                     own = x[some]
-                    logs[low_at : low_at + 8192] = net.log_target(_windows(context, some), vocab.cls[own].astype(np.int64), vocab.part[own].astype(np.int64)) + vocab.inside[own]
+                    logs[low_at : low_at + 8192] = net.log_target(_windows(context, some), vocab.cls[own], vocab.part[own]) + vocab.inside[own]
                 total = np.bincount(np.repeat(np.arange(len(n)), n), logs, len(n))
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "no_id": part["no_id"].to_numpy(), "n_tokens": n, "pll": total})
 
