@@ -22,6 +22,7 @@ whatever their names.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,6 +75,20 @@ def subwords(data: np.ndarray) -> np.ndarray:
     return np.concatenate([((g * m) >> np.uint32(32 - BITS)) for g, m in zip(grams, _MIX, strict=True)]).astype(np.int64)
 
 
+class _Pieces:
+    """The subwords of many pieces, two bytes each, in one block: the driver holds those of the whole sample."""
+
+    def __init__(self) -> None:
+        self.flat, self.ends = array("H"), [0]
+
+    def add(self, ids: np.ndarray) -> None:
+        self.flat.frombytes(ids.astype(np.uint16).tobytes())
+        self.ends.append(len(self.flat))
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return np.frombuffer(self.flat, dtype=np.uint16)[self.ends[i] : self.ends[i + 1]]
+
+
 class Model:
     """Languages, the folded table (a column of logits per language, then the log share), and temperature and limit by length class."""
 
@@ -123,14 +138,14 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 40
     code = {n: i for i, n in enumerate(names)}
     rng = np.random.default_rng(seed)
     held = np.arange(len(texts)) % 10 == 9
-    pieces, target = [], []
+    pieces, target = _Pieces(), []
     for t, y, h in zip(texts, labels, held, strict=True):
         if h:
             continue
         data = folded(t)
         for at in range(0, max(1, len(data) - 3), PIECE):
             if len(data) - at >= 4:
-                pieces.append(subwords(data[at : at + PIECE]))
+                pieces.add(subwords(data[at : at + PIECE]))
                 target.append(code[y])
     y = np.array(target, dtype=np.int64)
     emb = rng.normal(0, 0.1, (1 << BITS, DIM)).astype(np.float32)
@@ -146,7 +161,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 40
             pick = order[at : at + size]
             ids = [pieces[i] for i in pick]
             n = np.array([len(x) for x in ids])
-            flat = np.concatenate(ids)
+            flat = np.concatenate(ids).astype(np.int64)
             starts = np.concatenate([[0], np.cumsum(n)[:-1]])
             mean = np.add.reduceat(emb[flat], starts, axis=0) / n[:, None].astype(np.float32)
             grad = _softmax(mean @ weight + bias).astype(np.float32)
@@ -161,8 +176,9 @@ def train(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 40
     if not names:
         return Model([], np.zeros((1 << BITS, 1)), bias.astype(np.float64))
     counts = np.ones((len(names), 1 << BITS))  # add-one
-    for ids, k in zip(pieces, y, strict=True):
-        counts[k] += np.bincount(ids, minlength=1 << BITS)
+    for i, k in enumerate(y):
+        counts[k] += np.bincount(pieces[i], minlength=1 << BITS)
+    del pieces
     model = Model(names, np.column_stack([emb @ weight, _log_share(counts)]).astype(np.float64), bias.astype(np.float64))
     back = [(folded(t), code[x]) for t, x, h in zip(texts, labels, held, strict=True) if h]
     if back:
@@ -200,9 +216,9 @@ def calibrate(model: Model, counts: np.ndarray, back: list[tuple[np.ndarray, int
     swap[97:123] = 97 + np.roll(np.arange(26), 7)[rng.permutation(26)]
     foreign = [model.averages([swap[x] for x in data])[1]]
     if len(model.labels) > 1:
-        ids = [subwords(x) for x in data]
         unseen = [_log_share(np.delete(counts, k, axis=0)) for k in range(len(model.labels))]
-        foreign.append(np.array([unseen[k][i].mean() if len(i) else 0.0 for i, k in zip(ids, truth, strict=True)]))
+        # One text's ids at a time: those of all windows together are many times the sample.
+        foreign.append(np.array([unseen[k][i].mean() if len(i) else 0.0 for i, k in zip(map(subwords, data), truth, strict=True)]))
     grid, last = np.geomspace(0.02, 50, 120), 0
     for c in range(CLASSES):
         here = np.flatnonzero(kind == c)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -544,6 +545,21 @@ def test_language_rejects_foreign_and_exchanged_letters(spark):
     assert sorted(x["doc_id"] for x in langid.keep_identified(spark, df.where("doc_id >= 1000 or doc_id < 100"), "").collect() if x["doc_id"] >= 1000) == [1000]
 
 
+def test_language_training_holds_few_bytes_a_character():
+    """The driver trains: what it holds beyond the model is a few bytes for each character of the sample."""
+
+    def peak(n):
+        r = np.random.default_rng(3)
+        texts = ["".join(r.choice(list("abcdefgh " if i % 2 else "ijklmnop "), 4000)) for i in range(n)]
+        tracemalloc.start()
+        langid.train(texts, ["x" if i % 2 else "y" for i in range(n)], epochs=1)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    assert peak(400) - peak(100) < 15 * 300 * 4000
+
+
 def test_language_prediction_by_plain_numpy(spark):
     """The folded table, histograms and classes of lengths against a prediction of one text at a time."""
     r = np.random.default_rng(13)
