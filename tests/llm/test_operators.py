@@ -140,6 +140,34 @@ def test_line_dedup_against_brute_force(spark):
     assert out[0]["key"] == "x"
 
 
+def rows_generated(spark, what):
+    """The rows that all Generate nodes so far with ``what`` in their description have made."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, total = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for k in range(runs.size()):
+        run = runs.apply(k).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if node.name() == "Generate" and what in node.desc():
+                got = values.get(node.metrics().apply(0).accumulatorId())
+                total += int(got.get().replace(",", "")) if got.isDefined() else 0
+    return total
+
+
+def test_line_dedup_compares_a_family_by_its_members(spark, monkeypatch):
+    """Copies that the first round leaves to the join: each is read again with its closest candidate, not in all pairs."""
+    monkeypatch.setattr(lines, "FAMILY", 1000)  # no first round
+    own = [f"base{i}" for i in range(30)]
+    texts = [" ".join([*own[: i % 30], f"new{i}", *own[i % 30 + 1 :]]) for i in range(200)]
+    texts += [" ".join([*own[:20], *(f"far{i}x{k}" for k in range(10))]) for i in range(3)]  # shares words, similar to none
+    want, before = kept_by_brute_force(list(enumerate(texts))), rows_generated(spark, "array(pos")
+    got = {x["doc_id"]: x["kept"] for x in lines.kept_lines(frame(spark, texts)).collect()}
+    assert {i: got.get(i, []) for i in want} == want
+    assert [i for i in want if want[i]] == [0, 200, 201, 202]
+    assert 0 < rows_generated(spark, "array(pos") - before <= 4 * len(texts)
+
+
 def test_line_dedup_with_large_ids(spark):
     rows = [(2**61 + i, t, None, None, None) for i, t in enumerate(["a b c d e", "a b c d e", "a b c d f g h"])]
     got = {r["doc_id"]: r["kept"] for r in lines.kept_lines(spark.createDataFrame(rows, DOCS)).collect()}
