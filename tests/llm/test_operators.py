@@ -168,6 +168,37 @@ def test_line_dedup_compares_a_family_by_its_members(spark, monkeypatch):
     assert 0 < rows_generated(spark, "array(pos") - before <= 4 * len(texts)
 
 
+def test_line_dedup_tokenises_once_and_groups_by_hash(spark):
+    """The sets are grouped without a sort of their arrays, and each is split into words once."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList().size()
+    assert lines.kept_lines(frame(spark, ["a b c d e\na b c d e", "A B C D E F", "x y z"])).count() == 2
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    graphs = [store.planGraph(runs.apply(k).executionId()).allNodes() for k in range(before, runs.size())]
+    nodes = [(n.name(), n.desc()) for g in graphs for n in (g.apply(i) for i in range(g.size()))]
+    grouped = [name for name, desc in nodes if "Aggregate" in name and "k1" in desc]
+    assert grouped and set(grouped) == {"HashAggregate"}
+    assert not [desc for name, desc in nodes if name == "Filter" and "split(lower" in desc]
+
+
+def test_line_dedup_with_a_sampled_order_and_any_letters(spark, monkeypatch):
+    """Rarity from few of the documents changes no result; lines of ASCII and others are split alike; sets around the bitmap's change of width."""
+    monkeypatch.setattr(lines, "RARITY_DOCS", 5)
+    r, texts = np.random.default_rng(9), ["\u212a b c d \u00e9", "k,b;c_d \u00c9!", "k b c d e", "a\u0301 b 1\u00b2 d", "A\u0301-b-1\u00b2-d", "", "_", None]
+    for n in (9, 31, 32, 39, 40, 63, 80, 95, 96, 97, 110, 127, 130, 160):
+        for size in (n, n + n // 4, n + n // 4 + 1):
+            own = [f"w{n}x{k}" for k in range(size)]
+            r.shuffle(own)
+            texts.insert(int(r.integers(0, len(texts))), " ".join(own))
+    want = kept_by_brute_force(list(enumerate(texts)))
+    for family in (8, 0):
+        monkeypatch.setattr(lines, "FAMILY", family)
+        got = {x["doc_id"]: x["kept"] for x in lines.kept_lines(frame(spark, texts)).collect()}
+        assert {i: got.get(i, []) for i in want} == want
+
+
 def test_line_dedup_with_large_ids(spark):
     rows = [(2**61 + i, t, None, None, None) for i, t in enumerate(["a b c d e", "a b c d e", "a b c d f g h"])]
     got = {r["doc_id"]: r["kept"] for r in lines.kept_lines(spark.createDataFrame(rows, DOCS)).collect()}
