@@ -183,6 +183,19 @@ def test_line_dedup_tokenises_once_and_groups_by_hash(spark):
     assert not [desc for name, desc in nodes if name == "Filter" and "split(lower" in desc]
 
 
+def test_line_dedup_has_small_plans(spark, docs):
+    """The places of the buckets come from a table: only the statement that writes it describes them, and no row of a line holds them."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList().size()
+    assert lines.kept_lines(docs).count() > 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    runs = store.executionsList()
+    texts = [runs.apply(k).physicalPlanDescription() for k in range(before, runs.size())]
+    assert len(texts) > 10 and sum(len(t) > 200_000 for t in texts) == 1, sorted(map(len, texts))[-4:]
+    assert [t for t in texts if "Subquery" in t] and not [t for t in texts if re.search(r"ubquery#\d+(, \[id=#\d+\])? AS places#", t)]
+
+
 def test_line_dedup_with_a_sampled_order_and_any_letters(spark, monkeypatch):
     """Rarity from few of the documents changes no result; lines of ASCII and others are split alike; sets around the bitmap's change of width."""
     monkeypatch.setattr(lines, "RARITY_DOCS", 5)
