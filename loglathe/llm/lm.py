@@ -202,9 +202,11 @@ def count_tokens(tokens: DataFrame) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"id": at, "n": total[at]})
 
-    got = tokens.select("ids").mapInPandas(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()  # at most VOCAB rows
+    got = tokens.select("ids").mapInPandas(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    # At most VOCAB rows, as columns: as rows they would take hundreds of MB of the driver's memory, in the JVM and in Python.
+    got = got.toArrow()
     out = np.zeros(VOCAB)
-    out[got["id"].to_numpy(dtype=np.int64)] = got["n"]
+    out[got["id"].to_numpy()] = got["n"].to_numpy()
     return out
 
 
@@ -231,9 +233,9 @@ def train(tokens: DataFrame, vocabulary: Vocabulary, rounds: int = 1, seed: int
 
         partial = tokens.select("ids").mapInPandas(run, "weights array<double>, n long").select("n", F.posexplode("weights").alias("at", "w"))
         mean = partial.groupBy("at").agg((F.sum("w") / F.sum("n")).alias("w"))
-        got = mean.toPandas()  # one row per weight
-        if len(got):
-            flat = got.sort_values("at")["w"].to_numpy()
+        got = mean.toArrow()  # one row per weight
+        if got.num_rows:
+            flat = got.sort_by("at")["w"].to_numpy()
     return Network().load(flat)
 
 

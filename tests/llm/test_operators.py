@@ -285,6 +285,19 @@ def test_scores_of_all_documents(docs, empty):
     assert lm.score_documents(empty).count() == 0
 
 
+def test_counts_come_as_columns(spark):
+    """The driver gets numbers, not an object for each of up to a million ids."""
+    rows = spark.range(300_000).select((F.col("id") % 7 - 1).alias("doc_id"), F.lit(False).alias("no_id"), F.array((F.col("id") * 3).cast("int")).alias("ids"))
+    tracemalloc.start()
+    try:
+        counts = lm.count_tokens(rows)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert counts.sum() == 300_000 and set(np.flatnonzero(counts)) == set(range(0, 900_000, 3))
+    assert most < 24e6, most
+
+
 def test_scores_by_brute_force(spark, monkeypatch):
     """One token at a time, from the definition, given the same vocabulary and weights."""
     texts = [t for t in corpus() if t and len(t) < 2000][:20] + ["one"]
