@@ -132,3 +132,32 @@ def test_lookup_in_place_and_by_join(spark, lines, monkeypatch):
     assert {r[0]: r[1] for r in got.collect()} == want
     monkeypatch.setattr(drain, "IN_PLACE", 2)
     assert {r["line_id"]: r["first_line_id"] for r in drain.drain_lookup(lines(*texts), templates).collect()} == want
+
+
+@pytest.mark.parametrize("words", [bucketed.WORDS, 1])
+@pytest.mark.parametrize("seed", range(6))
+def test_dlog_of_beginnings(lines, monkeypatch, seed, words):
+    """Cut lines give what whole lines give, and there are fewer of them."""
+    r = random.Random(seed)
+    if seed < 3:
+        texts = [f"u {r.randrange(12)} {r.choice('xyz')} props k {r.randrange(40)} {i}" for i in range(300)] + ["u 99 x props k 5 7"] * (seed * 2)
+    else:
+        texts = [" ".join(r.choice("abc") for _ in range(r.randrange(7))) for _ in range(10 + 20 * seed)] + ["a b c a b c a"] * 2
+    whole = {}
+    for i, t in enumerate(texts):
+        whole.setdefault(t.split(" ")[0], bucketed.DLog()).add(i, t.split())
+    want = {}
+    for t, n, first in (x for m in whole.values() for x in m.templates()):
+        old = want.get(tuple(t), (0, first))
+        want[tuple(t)] = (old[0] + n, min(old[1], first))
+    monkeypatch.setattr(bucketed, "WORDS", words)
+    assert {tuple(x["template"]): (x["n_lines"], x["first_line_id"]) for x in bucketed.dlog(lines(*texts)).collect()} == want
+
+
+def test_dlog_cuts_lines(lines):
+    d = tokens_of(lines(*(f"u {i % 5} x {i % 3} {i}" for i in range(200))))
+    assert bucketed._constant_words(d)[0] == 3
+
+
+def tokens_of(df):
+    return sequential.tokenized(df).groupBy("tokens").agg({"*": "count", "line_id": "min"}).toDF("tokens", "n", "line_id")
