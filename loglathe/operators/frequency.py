@@ -9,6 +9,10 @@ execution can split), and the regrouping by line is combined on the map side. Bo
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +20,8 @@ from ..functions.tokens import first_seen, tokenized
 
 #: Words that stay are made part of the plan, as a hash set, up to so many.
 IN_PLACE = 20_000
+#: Counts of words are looked up in place, by 128-bit hashes, for up to so many words that occur more than once.
+COUNTED = 2_000_000
 
 
 def exploded(tokens: DataFrame) -> DataFrame:
@@ -39,6 +45,37 @@ def _regrouped(rows: DataFrame, tokens: DataFrame, *cols: Column) -> DataFrame:
     return lines.unionByName(tokens.where(F.size("tokens") == 0).select("line_id", nothing.alias("x")))
 
 
+def _counted(tokens: DataFrame, counts: DataFrame, on: list[str]) -> DataFrame:
+    """line_id and ``x``, the array of a line's (pos, word, n) in order, n from ``counts``; empty lines have an empty one.
+
+    A frequent word is in most lines, and a join on it would sort most lines in one task; up to :data:`COUNTED` words no line is moved.
+    """
+    hashed = lambda w, i: [F.xxhash64(F.lit(seed), w, *([i] if "pos" in on else [])) for seed in (1, 2)]
+    a, b = hashed(F.col("word"), F.col("pos") if "pos" in on else None)
+    few = counts.where("n > 1").select(a.alias("a"), b.alias("b"), "n").limit(COUNTED + 1).toArrow()
+    known, check, n = (few[c].to_numpy() for c in ("a", "b", "n"))
+    order = np.argsort(known)
+    known, check, n = known[order], check[order], n[order]
+    if len(known) > COUNTED or (known[1:] == known[:-1]).any():
+        return _regrouped(exploded(tokens).join(counts, on), tokens, F.col("n"))
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, words, first, second = batch.columns
+            one, two = first.flatten().to_numpy(), second.flatten().to_numpy()
+            found = np.ones(len(one), dtype=np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, one), len(known) - 1)
+                found = np.where((known[at] == one) & (check[at] == two), n[at], 1)
+            ends = np.concatenate([[0], np.cumsum(first.value_lengths().to_numpy())]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([ids, words, pa.ListArray.from_arrays(ends, found)], ["line_id", "tokens", "ns"])
+
+    sides = F.transform("tokens", lambda w, i: hashed(w, i)[0]).alias("a"), F.transform("tokens", lambda w, i: hashed(w, i)[1]).alias("b")
+    rows = tokens.select("line_id", "tokens", *sides).mapInArrow(look_up, tokens.select("line_id", "tokens", F.array(F.lit(1).cast("long")).alias("ns")).schema)
+    rows = rows.withColumn("pairs", F.zip_with("tokens", "ns", lambda w, c: F.struct(w.alias("word"), c.alias("n"))))
+    return rows.select("line_id", F.transform("pairs", lambda e, i: F.struct(i.alias("pos"), e["word"].alias("word"), e["n"].alias("n"))).alias("x"))
+
+
 def _masked(tokens: DataFrame, kept: DataFrame, on: list[str]) -> DataFrame:
     """line_id, template: each token that ``kept`` has, else null."""
     few = kept.select(*on).limit(IN_PLACE + 1).collect()
@@ -80,8 +117,7 @@ def _gap_masked(rows: DataFrame) -> DataFrame:
 def lfa(lines: DataFrame) -> DataFrame:
     """Per line, the words above the first largest gap between its words' (position, word) counts stay."""
     tokens = tokenized(lines)
-    rows = exploded(tokens).join(position_word_counts(tokens), ["pos", "word"])
-    return first_seen(_gap_masked(_regrouped(rows, tokens, F.col("n"))))
+    return first_seen(_gap_masked(_counted(tokens, position_word_counts(tokens), ["pos", "word"])))
 
 
 def va(lines: DataFrame, method: str, threshold: float) -> DataFrame:
@@ -99,7 +135,7 @@ def va(lines: DataFrame, method: str, threshold: float) -> DataFrame:
         total = lines.count()
         return first_seen(_masked(tokens, words.where(F.col("n") / F.lit(total) > threshold), ["word"]))
     if method == "relative-variable":
-        x = _regrouped(exploded(tokens).join(words, "word"), tokens, F.col("n"))
+        x = _counted(tokens, words, ["word"])
         order = F.sort_array(F.transform("x", lambda e: F.struct(e["n"].alias("n"), e["pos"].alias("pos"), e["word"].alias("word"))))
         drop = F.floor(F.size("x") * F.lit(float(threshold))).cast("int")
         kept = F.transform(F.slice(order, drop + 1, F.greatest(F.size("x") - drop, F.lit(0))), lambda e: e["word"])

@@ -6,7 +6,7 @@ from collections import Counter
 import pyarrow as pa
 import pytest
 
-from loglathe.operators import bucketed, drain, ordered, sequential
+from loglathe.operators import bucketed, drain, frequency, iplom, ordered, sequential
 from loglathe.operators.sequential import in_order
 from loglathe.streaming import online
 
@@ -161,3 +161,28 @@ def test_dlog_cuts_lines(lines):
 
 def tokens_of(df):
     return sequential.tokenized(df).groupBy("tokens").agg({"*": "count", "line_id": "min"}).toDF("tokens", "n", "line_id")
+
+
+def test_counts_in_place_and_by_join(lines, monkeypatch):
+    """No line is joined where words are few; both ways give the same rows."""
+    texts = [f"a {i % 7} b{i % 3} c a {i}" for i in range(90)] + ["", "a", "b1 b1"]
+    ways = [frequency.lfa, lambda d: frequency.va(d, "relative-variable", 0.5)]
+    few = [sorted(map(str, w(lines(*texts)).collect())) for w in ways]
+    assert all("Join" not in plan(w(lines(*texts))) for w in ways)
+    monkeypatch.setattr(frequency, "COUNTED", 0)
+    assert [sorted(map(str, w(lines(*texts)).collect())) for w in ways] == few
+
+
+def test_iplom_broadcasts_what_it_tells_of_partitions(spark, lines, monkeypatch):
+    texts = [f"user {i % 11} {'get' if i % 3 else 'put'} k {i % 4}" for i in range(90)] + ["", "a b", "a c d"]
+    stage = lambda: iplom.stage3(iplom.stage2(iplom.stage1(lines(*texts))))
+    shown = lambda df: sorted(map(str, df.collect()))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert "SortMergeJoin" not in plan(stage())
+        want = shown(stage()), shown(iplom.iplom(lines(*texts)))
+        monkeypatch.setattr(iplom, "BROADCAST", 0)
+        assert (shown(stage()), shown(iplom.iplom(lines(*texts)))) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
