@@ -164,13 +164,15 @@ def tokens_of(df):
 
 
 def test_counts_in_place_and_by_join(lines, monkeypatch):
-    """No line is joined where words are few; both ways give the same rows."""
-    texts = [f"a {i % 7} b{i % 3} c a {i}" for i in range(90)] + ["", "a", "b1 b1"]
-    ways = [frequency.lfa, lambda d: frequency.va(d, "relative-variable", 0.5)]
+    """No line is joined where words are few; else only tokens that are not among the most frequent are. All ways give the same rows."""
+    texts = [f"a {i % 7} b{i % 3} c a {i} {i // 2}" for i in range(90)] + ["", "a", "b1 b1"]
+    ways = [frequency.lfa, lambda d: frequency.va(d, "relative-variable", 0.5), lambda d: frequency.slct(d, 1, 0), lambda d: frequency.logcluster(d, 2)]
     few = [sorted(map(str, w(lines(*texts)).collect())) for w in ways]
     assert all("Join" not in plan(w(lines(*texts))) for w in ways)
-    monkeypatch.setattr(frequency, "COUNTED", 0)
-    assert [sorted(map(str, w(lines(*texts)).collect())) for w in ways] == few
+    monkeypatch.setattr(frequency, "IN_PLACE", 0)
+    for most in (10**6, 20, 5, 0):
+        monkeypatch.setattr(frequency, "COUNTED", most)
+        assert [sorted(map(str, w(lines(*texts)).collect())) for w in ways] == few
 
 
 def test_iplom_broadcasts_what_it_tells_of_partitions(spark, lines, monkeypatch):
